@@ -157,12 +157,8 @@ def direction_class(change: str | Column, threshold: float | Column) -> Column:
 
 def name_of_largest(values: Mapping[str, Column]) -> Column:
     """Name of the largest value; the first named wins a tie, nulls never win."""
-    best = F.greatest(*values.values())
-    out = None
-    for name, value in values.items():
-        hit = value == best
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return out
+    entries = [F.struct(v.alias("v"), F.lit(-i).alias("o"), F.lit(n).alias("n")) for i, (n, v) in enumerate(values.items())]
+    return F.array_max(F.array(*entries))["n"]
 
 
 def rank_in(c: str | Column, ascending: Sequence[str]) -> Column:

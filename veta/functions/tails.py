@@ -7,6 +7,7 @@ from math import erfc, exp, lgamma, log, sqrt
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def beta_regularised(a: float, b: float, x: float) -> float:
@@ -61,16 +62,16 @@ def _nullable(values) -> pd.Series:
     return pd.Series([None if v is None or np.isnan(v) else float(v) for v in values], dtype="object")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _nullable([f_tail(*v) if not pd.isna(v[0]) else None for v in zip(f, d1, d2, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable([t_two_sided(*v) if not pd.isna(v[0]) else None for v in zip(t, df, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_pvalue(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return _nullable([binomial_at_least(*v) for v in zip(k, n, p, strict=True)])

@@ -65,15 +65,17 @@ def _order(order: Sequence[str | Column]) -> list[Column]:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], totals: Mapping[str, Column],
-            include_current: bool = True, kind: str = "sum", limit: int = ROWS_PER_TASK) -> DataFrame:
+            include_current: bool = True, kind: str = "sum", limit: int = ROWS_PER_TASK,
+            crowd: bool | None = None) -> DataFrame:
     """Running sum (or max) of each column in ``totals`` per key.
 
     ``order`` must end with a tie-break.  With ``include_current=False`` the first row of a key is null.
+    ``crowd`` passes on a known answer of ``crowded`` (cheaper to find on the source of a long plan).
     """
     keys, order = list(keys), _order(order)
     agg = {"sum": F.sum, "max": F.max}[kind]
     end = 0 if include_current else -1
-    if not crowded(df, keys, limit):
+    if not (crowded(df, keys, limit) if crowd is None else crowd):
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumns({name: agg(c).over(w) for name, c in totals.items()})
     held = pieces(df.withColumns({f"_in_{n}": c for n, c in totals.items()}), keys, order, limit)
@@ -99,13 +101,13 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
 
 def framed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
            stages: Sequence[Callable[[WindowSpec], Mapping[str, Column]]], before: int = 0, after: int = 0,
-           limit: int = ROWS_PER_TASK) -> DataFrame:
+           limit: int = ROWS_PER_TASK, crowd: bool | None = None) -> DataFrame:
     """Window columns that look at most ``before`` rows back and ``after`` rows ahead in all stages together.
 
     Each stage receives the ordered window of the key and returns named columns.
     """
     keys, order = list(keys), _order(order)
-    if not crowded(df, keys, limit):
+    if not (crowded(df, keys, limit) if crowd is None else crowd):
         w = Window.partitionBy(*keys).orderBy(*order)
         for stage in stages:
             df = df.withColumns(dict(stage(w)))
@@ -128,19 +130,20 @@ def framed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
 
 
 def quantiles(df: DataFrame, value: str, probs: Mapping[str, float], keys: Sequence[str] = (),
-              limit: int = ROWS_PER_TASK) -> DataFrame:
+              limit: int = ROWS_PER_TASK, crowd: bool | None = None) -> DataFrame:
     """Exact interpolated quantiles per key: one row per key, one column per entry of ``probs``.
 
     Equal values are counted first, so copies cost nothing.  Keys with more distinct values than one
     task should hold are answered from running counts over the sorted values.
     """
     keys, names = list(keys), list(probs)
-    hist = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_n")))
-    if not crowded(hist, keys, limit):
+    # No filter on the value: pushed down, it would copy the whole expression behind the value.
+    hist = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    if not (crowded(hist, keys, limit) if crowd is None else crowd):
         packed = F.percentile(F.col("_v").cast("double"), F.array(*[F.lit(float(probs[n])) for n in names]), F.col("_n"))
         agg = hist.groupBy(*keys).agg(packed.alias("_q"))
         return agg.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    hist = materialise(hist).filter(F.col("_v").isNotNull())
     ranked = running(hist, keys, ["_v"], {"_upto": F.col("_n")}, limit=limit)
     sizes = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     both = attach(ranked, sizes, keys)
@@ -157,9 +160,9 @@ def quantiles(df: DataFrame, value: str, probs: Mapping[str, float], keys: Seque
 
 
 def medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), prefix: str = "med_",
-            limit: int = ROWS_PER_TASK) -> DataFrame:
+            limit: int = ROWS_PER_TASK, crowd: bool | None = None) -> DataFrame:
     """Exact medians of several columns per key in one pass where the groups are small."""
-    if not crowded(df, keys, limit):
+    if not (crowded(df, keys, limit) if crowd is None else crowd):
         exprs = [F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(prefix + c) for c in columns]
         return df.groupBy(*keys).agg(*exprs) if keys else df.agg(*exprs)
     if not keys:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veta.functions.columns import (BENFORD, chi2_tail_even, clip, decimal_hour, first_digit, flag, is_sunday,
                                     month_text, name_of_largest, ratio, tidy)
-from veta.operators.sequence import attach, group_totals, medians, quantiles, running
+from veta.operators.sequence import attach, crowded, group_totals, medians, quantiles, running
 
 # Weights of the score; they add up to 110 and are scaled back to 100.
 WEIGHTS = {"s_benford": 15, "s_iso": 25, "s_rend": 15, "s_contrato": 10, "s_lab": 5, "s_hora": 10, "s_fisica": 15,
@@ -57,11 +57,13 @@ def duplicate_flag(df: DataFrame, key: str = "numero_remision", name: str = "dup
             .withColumn(name, flag(F.col("_copies") > 1)).drop("_copies"))
 
 
-def robust_z(df: DataFrame, keys: Sequence[str], columns: Sequence[str], prefix: str = "z_") -> DataFrame:
+def robust_z(df: DataFrame, keys: Sequence[str], columns: Sequence[str], prefix: str = "z_",
+             crowd: bool | None = None) -> DataFrame:
     """|x - median| / (1.4826 * median deviation) within the group; 0 where undefined (also for null keys)."""
-    med = medians(df, columns, keys, "_med_")
+    crowd = crowded(df, keys) if crowd is None else crowd
+    med = medians(df, columns, keys, "_med_", crowd=crowd)
     dev = attach(df, med, keys).withColumns({f"_dev_{c}": F.abs(F.col(c) - F.col(f"_med_{c}")) for c in columns})
-    mad = medians(dev, [f"_dev_{c}" for c in columns], keys, "_mad")
+    mad = medians(dev, [f"_dev_{c}" for c in columns], keys, "_mad", crowd=crowd)
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
@@ -102,7 +104,8 @@ def yield_signal(df: DataFrame, plots: DataFrame, producer: str = "id_productor"
     return df.join(s, producer, "left").withColumn("s_rend", F.coalesce("s_rend", F.lit(0.0)))
 
 
-def contract_signal(df: DataFrame, order: Sequence[str], sampled: bool = False) -> DataFrame:
+def contract_signal(df: DataFrame, order: Sequence[str], sampled: bool = False,
+                    crowd: bool | None = None) -> DataFrame:
     """Running delivery above the committed volume, plus a fixed part for receipts without contract.
 
     Receipts without contract do not enter the running total: they would form one huge group.
@@ -110,7 +113,7 @@ def contract_signal(df: DataFrame, order: Sequence[str], sampled: bool = False)
     none = F.col("id_contrato").isNull()
     if sampled:
         return df.withColumn("s_contrato", flag(none) * 0.2)
-    held = running(df.filter(~none), ["id_contrato"], order, {"acumulado": F.col("peso_neto")})
+    held = running(df.filter(~none), ["id_contrato"], order, {"acumulado": F.col("peso_neto")}, crowd=crowd)
     over = clip(ratio("acumulado", "volumen_comprometido_tn") - 1, 0, 1)
     loose = df.filter(none).withColumn("acumulado", F.lit(None).cast("double"))
     return (held.withColumn("s_contrato", F.coalesce(over, F.lit(0.0)))
@@ -129,11 +132,13 @@ def document_signals(df: DataFrame) -> DataFrame:
 
 def signals(receipts: DataFrame, plots: DataFrame, order: Sequence[str]) -> DataFrame:
     """All signals except the isolation score.  ``receipts`` comes from ``enrich``."""
-    d = duplicate_flag(basics(receipts))
-    d = robust_z(d, STRATUM, ["humedad_pct", "impurezas_pct", "peso_neto"])
-    digits = benford(d, STRATUM).select(*STRATUM, F.col("senal").alias("s_benford"))
+    source = basics(receipts)
+    hot_stratum = crowded(source, STRATUM)
+    hot_contract = crowded(receipts.filter("id_contrato is not null"), ["id_contrato"])
+    d = robust_z(duplicate_flag(source), STRATUM, ["humedad_pct", "impurezas_pct", "peso_neto"], crowd=hot_stratum)
+    digits = benford(source, STRATUM).select(*STRATUM, F.col("senal").alias("s_benford"))
     d = attach(d, digits, STRATUM).withColumn("s_benford", F.coalesce("s_benford", F.lit(0.0)))
-    d = contract_signal(yield_signal(d, plots), order)
+    d = contract_signal(yield_signal(d, plots), order, crowd=hot_contract)
     return document_signals(d).withColumns({
         "s_fisica": F.least(F.greatest("z_humedad_pct", "z_impurezas_pct"), F.lit(Z_TOP)) / Z_TOP,
         "s_peso": F.least(F.col("z_peso_neto"), F.lit(Z_TOP)) / Z_TOP,
@@ -163,7 +168,10 @@ def score(df: DataFrame) -> DataFrame:
 
 
 def severity(df: DataFrame, value: str = "score", name: str = "severidad") -> DataFrame:
-    """Percentile classes: above the 99th critical, above the 90th high, above the median medium."""
+    """Percentile classes: above the 99th critical, above the 90th high, above the median medium.
+
+    Reads ``df`` twice; hand in a materialised frame if it is expensive.
+    """
     cut = quantiles(df, value, {"q50": 0.5, "q90": 0.9, "q99": 0.99}).first()
     if cut is None:
         return df.withColumn(name, F.lit(None).cast("string"))

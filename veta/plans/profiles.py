@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veta.functions.columns import tidy
@@ -15,9 +15,14 @@ from veta.sources.roles import sql_with
 START, END = "1995-06-01", "2001-06-01"
 
 
-def rounded(df: DataFrame, digits: int = 4, skip: tuple[str, ...] = ()) -> DataFrame:
-    doubles = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")} - set(skip)
-    return df.select(*[tidy(c, digits).alias(c) if c in doubles else F.col(c) for c in df.columns])
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Report form: doubles rounded, dates as text."""
+    def show(name: str, kind: str) -> Column:
+        if kind in ("double", "float"):
+            return tidy(name, digits).alias(name)
+        return F.col(name).cast("string").alias(name) if kind == "date" else F.col(name)
+
+    return df.select(*[show(f.name, f.dataType.typeName()) for f in df.schema.fields])
 
 
 def fact(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +172,7 @@ def segment_profile_join(spark, sf):
 
 
 @query("receipt_enriched_lab", sql_with("recepcion", "contrato", "asignacion", "control", then="""
-    SELECT r.id_recepcion, r.id_silo, r.id_contrato, c.id_productor, c.volumen_comprometido_tn, coalesce(n_lab, 0) AS n_lab
+    SELECT r.id_recepcion, r.id_silo, CAST(r.id_contrato AS VARCHAR) AS id_contrato, CAST(c.id_productor AS VARCHAR) AS id_productor, c.volumen_comprometido_tn, coalesce(n_lab, 0) AS n_lab
     FROM recepcion r LEFT JOIN contrato c USING (id_contrato) LEFT JOIN (SELECT a.id_recepcion, count(*) AS n_lab
       FROM asignacion a JOIN control USING (id_lote) GROUP BY 1) lab USING (id_recepcion)"""))
 def receipt_enriched_lab(spark, sf):
@@ -175,7 +180,8 @@ def receipt_enriched_lab(spark, sf):
 
     e = enrich(roles.receipts(spark, sf), roles.contracts(spark, sf), roles.lab_assignments(spark, sf),
                roles.lab_controls(spark, sf))
-    return e.select("id_recepcion", "id_silo", "id_contrato", "id_productor", "volumen_comprometido_tn", "n_lab")
+    return e.select("id_recepcion", "id_silo", F.col("id_contrato").cast("string").alias("id_contrato"),
+                    F.col("id_productor").cast("string").alias("id_productor"), "volumen_comprometido_tn", "n_lab")
 
 
 @query("latest_per_key", """SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (SELECT *, row_number() OVER

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veta.functions.columns import BENFORD, rank_in, tidy
 from veta.operators import weighing as op
 from veta.operators.isolation import isolation_score
-from veta.operators.sequence import running
 from veta.operators.summary import top_groups, value_counts
 from veta.plans.profiles import rounded
 from veta.plans.registry import query
 from veta.sources import roles
+from veta.session import materialise
 from veta.sources.roles import RECEIPT_ORDER, sql_with
 
 ORDER = list(RECEIPT_ORDER)
@@ -31,10 +29,22 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
     return op.signals(enriched(spark, sf), roles.plots(spark, sf), ORDER)
 
 
+ALERT = ["id_recepcion", "id_parte", "fecha_hora", "id_silo", "id_contrato", "peso_neto", "score", "tipologia", "severidad"]
+
+ALERT_SHOWN = [F.col(c).cast("string").alias(c) if c == "id_contrato" else c for c in ALERT]
+ALERT_SQL = ", ".join("CAST(id_contrato AS VARCHAR) AS id_contrato" if c == "id_contrato" else c for c in ALERT)
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     return op.score(signals(spark, sf))
 
 
+def graded(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored receipts with severity; the score is written once because cut points and output both need it."""
+    held = materialise(scored(spark, sf).select(*ALERT[:-1], "valor_usd"))
+    return op.severity(held)
+
+
 BASE_SQL = """base AS (SELECT r.*, c.id_productor, c.volumen_comprometido_tn, coalesce(n_lab, 0) AS n_lab,
     strftime(fecha_hora, '%Y-%m') AS mes, hour(fecha_hora) + minute(fecha_hora) / 60.0::DOUBLE AS hora_dec,
     CASE WHEN count(*) OVER (PARTITION BY numero_remision) > 1 THEN 1.0 ELSE 0.0 END AS dup_remision,
@@ -115,7 +125,7 @@ def robust_z(spark, sf):
 
 
 @query("running_over_delivery", sql_with("recepcion", "contrato", then=f"""
-    SELECT id_contrato, id_recepcion, id_parte, fecha_hora, peso_neto, round(acumulado, 4) AS acumulado,
+    SELECT CAST(id_contrato AS VARCHAR) AS id_contrato, id_recepcion, id_parte, fecha_hora, peso_neto, round(acumulado, 4) AS acumulado,
     round(CASE WHEN id_contrato IS NULL THEN CASE WHEN peso_neto > 50 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END
       ELSE coalesce(least(greatest(acumulado / nullif(volumen_comprometido_tn, 0) - 1, 0), 1), 0) END, 6) AS s_contrato
     FROM (SELECT r.*, c.volumen_comprometido_tn, CASE WHEN r.id_contrato IS NOT NULL THEN sum(peso_neto) OVER
@@ -124,7 +134,7 @@ def robust_z(spark, sf):
 def running_over_delivery(spark, sf):
     d = roles.receipts(spark, sf).join(roles.contracts(spark, sf), "id_contrato", "left")
     d = op.contract_signal(d, ORDER)
-    return d.select("id_contrato", "id_recepcion", "id_parte", "fecha_hora", "peso_neto",
+    return d.select(F.col("id_contrato").cast("string").alias("id_contrato"), "id_recepcion", "id_parte", "fecha_hora", "peso_neto",
                     F.round("acumulado", 4).alias("acumulado"), tidy("s_contrato").alias("s_contrato"))
 
 
@@ -153,10 +163,10 @@ def rare_digit_signal(spark, sf):
     return d.select("id_recepcion", "id_parte", "peso_neto", tidy("s_digito").alias("s_digito"))
 
 
-@query("yield_signal", sql_with(*VIEWS, then=f""", {SCORE_SQL} SELECT DISTINCT id_productor, round(s_rend, 6) AS s_rend FROM senal"""))
+@query("yield_signal", sql_with(*VIEWS, then=f""", {SCORE_SQL} SELECT DISTINCT CAST(id_productor AS VARCHAR) AS id_productor, round(s_rend, 6) AS s_rend FROM senal"""))
 def yield_signal(spark, sf):
     d = op.yield_signal(roles.receipts(spark, sf).join(roles.contracts(spark, sf), "id_contrato", "left"), roles.plots(spark, sf))
-    return d.select("id_productor", tidy("s_rend").alias("s_rend")).distinct()
+    return d.select(F.col("id_productor").cast("string").alias("id_productor"), tidy("s_rend").alias("s_rend")).distinct()
 
 
 @query("weigh_score", sql_with(*VIEWS, then=f""", {SCORE_SQL} SELECT id_recepcion, id_parte, id_silo, fecha_hora, peso_neto,
@@ -177,7 +187,7 @@ def weigh_typology(spark, sf):
 @query("weigh_severity", sql_with(*VIEWS, then=f""", {SCORE_SQL} SELECT severidad, count(*) AS n,
     min(score) AS minimo, max(score) AS maximo FROM final GROUP BY 1"""))
 def weigh_severity(spark, sf):
-    d = op.severity(scored(spark, sf))
+    d = graded(spark, sf)
     return d.groupBy("severidad").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("minimo"), F.max("score").alias("maximo"))
 
 
@@ -200,22 +210,19 @@ def risk_by_month(spark, sf):
                                                 F.count("score").alias("count"))
 
 
-ALERT = ["id_recepcion", "id_parte", "fecha_hora", "id_silo", "id_contrato", "peso_neto", "score", "tipologia", "severidad"]
-
-
-@query("alerts_top", sql_with(*VIEWS, then=f""", {SCORE_SQL} SELECT {', '.join(ALERT)} FROM final
+@query("alerts_top", sql_with(*VIEWS, then=f""", {SCORE_SQL} SELECT {ALERT_SQL} FROM final
     ORDER BY score DESC, {ORDER_SQL} LIMIT 5000"""))
 def alerts_top(spark, sf):
-    return op.alerts(op.severity(scored(spark, sf)), 5000, ORDER).select(*ALERT)
+    return op.alerts(graded(spark, sf), 5000, ORDER).select(*ALERT_SHOWN)
 
 
-@query("alerts_from_severity", sql_with(*VIEWS, then=f""", {SCORE_SQL} SELECT {', '.join(ALERT)} FROM final
+@query("alerts_from_severity", sql_with(*VIEWS, then=f""", {SCORE_SQL} SELECT {ALERT_SQL} FROM final
     WHERE severidad IN ('alto', 'critico') ORDER BY score DESC, {ORDER_SQL} LIMIT 500"""))
 def alerts_from_severity(spark, sf):
     """Preview of the alerts from a chosen severity upwards."""
-    d = op.severity(scored(spark, sf))
+    d = graded(spark, sf)
     level = rank_in("severidad", op.SEVERITIES)
-    return op.alerts(d.filter(level >= op.SEVERITIES.index("alto")), 500, ORDER).select(*ALERT)
+    return op.alerts(d.filter(level >= op.SEVERITIES.index("alto")), 500, ORDER).select(*ALERT_SHOWN)
 
 
 ISO_FEATURES = ["peso_neto", "tara_ratio", "hora_dec", "humedad_pct", "impurezas_pct", "z_peso_neto", "s_rend",
@@ -225,6 +232,6 @@ ISO_FEATURES = ["peso_neto", "tara_ratio", "hora_dec", "humedad_pct", "impurezas
 @query("isolation_score")
 def isolation(spark, sf):
     """Score with the isolation part: every receipt with its anomaly value and final score."""
-    d = isolation_score(signals(spark, sf), ISO_FEATURES, ids=["id_recepcion", "id_parte", "id_silo", "fecha_hora"])
-    d = op.severity(op.score(d))
+    d = isolation_score(materialise(signals(spark, sf)), ISO_FEATURES, ids=["id_recepcion", "id_parte", "id_silo", "fecha_hora"])
+    d = op.severity(materialise(op.score(d).select("id_recepcion", "id_parte", "s_iso", "score", "tipologia")))
     return d.select("id_recepcion", "id_parte", tidy("s_iso").alias("s_iso"), "score", "tipologia", "severidad")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import veta
+
 # Runtime SQL settings the operators rely on.  Skewed joins are split even where that costs
 # one more shuffle: a key holding a third of the rows must not end up in one task.
 RUNTIME = {
@@ -18,6 +21,8 @@ RUNTIME = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings and let functions of this package travel to the executors by value."""
+    cloudpickle.register_pickle_by_value(veta)
     for name, value in RUNTIME.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)
