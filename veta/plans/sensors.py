@@ -31,10 +31,10 @@ def features(spark, sf, lead=1):
 
 
 @query("sensor_features", sql_with("lectura", then=f""", {FEATURES_SQL} SELECT id_lectura, sensor_id,
-    CAST(hora_dia AS INTEGER) AS hora_dia, CAST(mes AS INTEGER) AS mes, {sql_rounded(ROUNDED, 5)}, riesgo FROM rasgo"""))
+    CAST(hora_dia AS INTEGER) AS hora_dia, CAST(mes AS INTEGER) AS mes, {sql_rounded(ROUNDED, 5)}, CAST(riesgo AS DOUBLE) AS riesgo FROM rasgo"""))
 def sensor_features(spark, sf):
     d = features(spark, sf)
-    return rounded(d.select("id_lectura", "sensor_id", "hora_dia", "mes", *ROUNDED.split(), "riesgo"), 5)
+    return rounded(d.select("id_lectura", "sensor_id", "hora_dia", "mes", *ROUNDED.split(), F.col("riesgo").cast("double").alias("riesgo")), 5)
 
 
 @query("sensor_risk_label", sql_with("lectura", then=f""", {FEATURES_SQL} SELECT sensor_id, count(*) AS n,

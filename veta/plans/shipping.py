@@ -40,11 +40,12 @@ def features(spark, sf):
 
 
 @query("shipment_enriched", sql_with(*VIEWS, then=f""", {ENRICH_SQL} SELECT id_embarque, puerto, tipo_puerto, rio_mar, incoterm, seg_cliente,
-    pais_cliente, n_envios, round(distancia_tot, 4) AS distancia_tot, round(flete_tot, 4) AS flete_tot, tipo_dom,
-    round(horas_transito_med, 4) AS horas_transito_med FROM rico"""))
+    pais_cliente, CAST(n_envios AS DOUBLE) AS n_envios, round(distancia_tot, 6) AS distancia_tot, round(flete_tot, 6) AS flete_tot, tipo_dom,
+    round(horas_transito_med, 6) AS horas_transito_med FROM rico"""))
 def shipment_enriched(spark, sf):
     return rounded(enriched(spark, sf).select("id_embarque", "puerto", "tipo_puerto", "rio_mar", "incoterm", "seg_cliente",
-                                              "pais_cliente", "n_envios", "distancia_tot", "flete_tot", "tipo_dom", "horas_transito_med"))
+                                              "pais_cliente", F.col("n_envios").cast("double").alias("n_envios"), "distancia_tot", "flete_tot",
+                                              "tipo_dom", "horas_transito_med"), 6)
 
 
 @query("shipment_censoring", sql_with("embarque", then=""" SELECT count(*) AS n, count(*) FILTER (WHERE fecha_real IS NULL) AS censurados
@@ -95,10 +96,10 @@ def last_shipments(spark, sf):
 
 
 @query("freight_rows", sql_with("envio", "transporte", then="""SELECT id_embarque, linea, id_parte, tipo, origen, destino, pais_bandera,
-    CAST(month(fecha_salida) AS INTEGER) AS mes, date_diff('hour', fecha_salida, fecha_llegada) AS duracion_h, costo_flete_usd,
-    round(distancia_km, 4) AS distancia_km FROM envio LEFT JOIN transporte USING (id_transporte)
+    CAST(month(fecha_salida) AS INTEGER) AS mes, date_diff('hour', fecha_salida, fecha_llegada) AS duracion_h, round(costo_flete_usd, 6) AS costo_flete_usd,
+    round(distancia_km, 6) AS distancia_km FROM envio LEFT JOIN transporte USING (id_transporte)
     WHERE costo_flete_usd > 0 AND distancia_km > 0"""))
 def freight_rows(spark, sf):
     d = op.freight_rows(roles.dispatches(spark, sf), roles.carriers(spark, sf))
     return d.select("id_embarque", "linea", "id_parte", "tipo", "origen", "destino", "pais_bandera", "mes", "duracion_h",
-                    "costo_flete_usd", F.round("distancia_km", 4).alias("distancia_km"))
+                    F.round("costo_flete_usd", 6).alias("costo_flete_usd"), F.round("distancia_km", 6).alias("distancia_km"))

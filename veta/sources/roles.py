@@ -146,7 +146,7 @@ def dispatches(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("id_embarque"), F.col("l_suppkey").alias("id_transporte"),
         (F.col("l_extendedprice") / 100).alias("distancia_km"),
-        F.round(F.col("l_quantity") * 12 + F.col("l_extendedprice") / 250, 2).alias("costo_flete_usd"),
+        (F.col("l_quantity") * 12 + F.col("l_extendedprice") / 250).alias("costo_flete_usd"),
         leave.alias("fecha_salida"), (leave + travel).alias("fecha_llegada"),
         F.col("l_returnflag").alias("origen"), F.col("l_linestatus").alias("destino"),
         F.col("l_partkey").alias("id_parte"), F.col("l_linenumber").alias("linea"),
@@ -236,7 +236,7 @@ SQL = {
         FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS fecha_real, sum(l_quantity) AS cantidad_tn
                                FROM lineitem GROUP BY 1) f ON f.l_orderkey = o_orderkey""",
     "envio": """SELECT l_orderkey AS id_embarque, l_suppkey AS id_transporte, l_extendedprice / 100 AS distancia_km,
-        round(l_quantity * 12 + l_extendedprice / 250, 2) AS costo_flete_usd,
+        l_quantity * 12 + l_extendedprice / 250 AS costo_flete_usd,
         l_shipdate + to_hours(CAST(l_partkey % 24 AS INTEGER)) + to_minutes(59) AS fecha_salida,
         l_shipdate + to_hours(CAST(l_partkey % 24 AS INTEGER)) + to_minutes(59)
           + to_hours(CAST(l_suppkey % 30 + 1 AS INTEGER)) + to_minutes(2) AS fecha_llegada,
