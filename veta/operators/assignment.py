@@ -78,8 +78,8 @@ def assign(lots: DataFrame, silos: DataFrame, lot_id: str = "id_lote", eps: floa
     """One row per lot with its silo (null and ``SIN_ESPACIO`` if none can take it)."""
     lots, silos = materialise(lots), materialise(silos)
     whole = segments(lots, silos, lot_id).filter((F.col("lado") == 1) & (F.col("lote_fin") <= F.col("silo_fin") + eps))
-    placed = materialise(lots.join(whole.select(F.col("clave").alias("_k"), "id_silo"), F.col(lot_id).cast("string") == F.col("_k"), "left")
-                         .drop("_k").select(lot_id, "peso_neto", "base", "id_silo"))
+    placed = materialise(lots.select(lot_id, "peso_neto", "base").join(whole.select(F.col("clave").alias("_k"), "id_silo"), F.col(lot_id).cast("string") == F.col("_k"), "left")
+                         .select(lot_id, "peso_neto", "base", "id_silo"))
     # At most one lot per silo border is left over.  Each round pairs the heaviest with the roomiest; a round
     # either places the heaviest lot or proves that it fits nowhere, so the loop ends.
     done, rest = placed.filter("id_silo is not null"), placed.filter("id_silo is null")

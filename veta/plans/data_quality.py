@@ -70,7 +70,7 @@ def dq_columns_sketch(spark, sf):
     SELECT p.tabla, max(filas) AS filas, count(*) AS columnas, round(max(nulos * 100.0::DOUBLE / greatest(filas, 1)), 2) AS max_nulo_pct,
       coalesce((SELECT string_agg(t, ' ' ORDER BY o) FROM h WHERE h.tabla = p.tabla), 'OK') AS flags FROM perfil p GROUP BY 1""")
 def dq_flags(spark, sf):
-    return op.flags(profile(spark, sf))
+    return op.flags(profile(spark, sf, exact=False))
 
 
 @query("catalog_summary", "WITH r AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tabla, count(*) AS registros FROM {t}" for t in SHAPES)

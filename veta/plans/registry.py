@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
-FRONTS = ("profiles", "weighing", "sensors", "shipping", "prices", "preparation", "patterns", "assignment", "data_quality",
+FRONTS = ("profiles", "weighing", "sensors", "shipping", "prices", "preparation", "patterns", "assignment", "data_quality", "statistics", "scoring", "clustering",
 )
 
 
