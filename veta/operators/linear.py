@@ -62,6 +62,38 @@ def moments_by(df: DataFrame, columns: Sequence[str], label: str | None = None)
     return out
 
 
+def merge(parts: Sequence[Moments]) -> Moments:
+    """Moments of the union of disjoint row sets."""
+    n = sum(m.n for m in parts)
+    mean = sum(m.n * m.mean for m in parts) / n
+    cross = sum(m.cross + m.n * np.outer(m.mean - mean, m.mean - mean) for m in parts)
+    return Moments(parts[0].columns, n, mean, cross)
+
+
+def squared_error(m: Moments, features: Sequence[str], target: str, weights: np.ndarray, constant: float) -> float:
+    """Sum of (y - Xw - b)^2 over the rows behind the moments."""
+    part = m.pick([*features, target])
+    v = np.append(-weights, 1.0)
+    bias = part.mean @ v - constant
+    return float(v @ part.cross @ v + part.n * bias * bias)
+
+
+def cross_validated(df: DataFrame, features: Sequence[str], target: str, fold: str, fit, grid: Sequence) -> tuple[object, Moments]:
+    """Best grid value over expanding folds, and the moments of all rows.
+
+    One pass gives the moments of every fold; fitting and scoring the whole grid then needs no data.
+    ``fit(moments, features, target, grid)`` returns {value: (weights, constant)}.
+    """
+    by = moments_by(df, [*features, target], fold)
+    folds = sorted(by)
+    loss = {g: 0.0 for g in grid}
+    for i in range(1, len(folds)):
+        models = fit(merge([by[f] for f in folds[:i]]), features, target, grid)
+        for g in grid:
+            loss[g] += squared_error(by[folds[i]], features, target, *models[g]) / by[folds[i]].n
+    return min(grid, key=lambda g: loss[g]), merge(list(by.values()))
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     return moments_by(df, columns)[None]
 

@@ -18,7 +18,8 @@ from veta.session import materialise
 from veta.sources import roles
 from veta.sources.roles import ENSO, sql_with
 
-RESTARTS = 3
+# Restarts of the ready-made queries; the operators default to 20.
+RESTARTS = 2
 
 
 def scaled(df, columns, ids, logs=True):
@@ -36,10 +37,7 @@ def sweep(df, columns, ids, ks, restarts=RESTARTS):
     """Quality of every k and the labels side by side."""
     labels = op.sweep_labels(df, columns, ks, restarts)
     sil = op.silhouette(labels, columns, [f"k{k}" for k in ks], ids)
-    sep = None
-    for k in ks:
-        s = op.separation(labels, columns, f"k{k}")
-        sep = s if sep is None else sep.unionByName(s)
+    sep = op.separation(labels, columns, [f"k{k}" for k in ks])
     board = materialise(sil.select("etiqueta", "silueta", "puntos").join(sep, "etiqueta"))
     best = op.best_k({int(r["etiqueta"][1:]): r["silueta"] for r in board.select("etiqueta", "silueta").collect()})
     return labels, board, best
@@ -48,7 +46,7 @@ def sweep(df, columns, ids, ks, restarts=RESTARTS):
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf):
     """Producer segments: quality for k = 2..7."""
-    _, board, _ = sweep(producer_matrix(spark, sf), PROFILE_FEATURES, ["id_productor"], range(2, 8))
+    _, board, _ = sweep(producer_matrix(spark, sf), PROFILE_FEATURES, ["id_productor"], range(2, 8), 1)
     return rounded(board, 5)
 
 
@@ -65,7 +63,8 @@ def segments_360(spark, sf):
     """Four behaviour segments of the producers with contracts."""
     c = materialise(profiles.compliance(spark, sf))
     d = op.kmeans_labels(scaled(c, SEGMENT_360_FEATURES, ["id_productor"]), SEGMENT_360_FEATURES, 4, "seg360", RESTARTS)
-    return rounded(label_profile(c.join(d.select("id_productor", "seg360"), "id_productor"), "seg360", SEGMENT_360_FEATURES))
+    both = c.join(d.select("id_productor", "seg360"), "id_productor").withColumnRenamed("n", "n_entregas")
+    return rounded(label_profile(both, "seg360", ["n_entregas", *SEGMENT_360_FEATURES[1:]]))
 
 
 SENSOR_COLUMNS = ["temperatura_c", "humedad_relativa_pct", "precipitacion_mm", "calidad_senal_dbm", "hora"]
@@ -151,7 +150,7 @@ def silhouette(spark, sf):
     bt AS (SELECT sum(a.n * pow({DIST}, 2)) AS b, sum(a.n) AS n FROM c a CROSS JOIN t b)
     SELECT 'g' AS etiqueta, 3 AS k, round((SELECT avg(r) FROM r), 5) AS davies_bouldin, round((b / 2) / ((SELECT sum(w) FROM s) / (n - 3)), 5) AS calinski_harabasz FROM bt"""))
 def cluster_separation(spark, sf):
-    return rounded(op.separation(few(spark, sf), FEW, "g"), 5)
+    return rounded(op.separation(few(spark, sf), FEW, ["g"]), 5)
 
 
 @query("adjusted_rand", """WITH c AS (SELECT c_mktsegment AS a, c_nationkey % 4 AS b, count(*)::DOUBLE AS n FROM customer GROUP BY 1, 2),

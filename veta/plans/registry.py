@@ -13,8 +13,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
-FRONTS = ("profiles", "weighing", "sensors", "shipping", "prices", "preparation", "patterns", "assignment", "data_quality", "statistics", "scoring", "clustering",
-)
+FRONTS = ("profiles", "weighing", "sensors", "shipping", "prices", "preparation", "patterns", "assignment",
+          "data_quality", "statistics", "scoring", "clustering", "modelling")
 
 
 def query(name: str, check: str | None = None) -> Callable[[Query], Query]:

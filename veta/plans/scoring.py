@@ -165,7 +165,9 @@ def improvement(spark, sf):
 
 
 @query("conformal", sql_with(*VIEWS, then=f""", {ROWS_SQL}, f AS (SELECT abs(retraso_d - prediccion) AS e, id_embarque % 2 AS parte FROM filas WHERE modelo = 'M3'),
-    q AS (SELECT quantile_cont(e, (SELECT least(1.0, 0.8 * (1 + 1.0 / count(*)))::DOUBLE FROM f WHERE parte = 0)) AS q FROM f WHERE parte = 0)
+    o AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS r, count(*) OVER () AS n FROM f WHERE parte = 0),
+    h AS (SELECT *, least(1.0::DOUBLE, 0.8::DOUBLE * (1 + 1.0::DOUBLE / n)) * (n - 1) AS h FROM o),
+    q AS (SELECT max(e) FILTER (WHERE r = floor(h)) + any_value(h - floor(h)) * (max(e) FILTER (WHERE r = ceil(h)) - max(e) FILTER (WHERE r = floor(h))) AS q FROM h)
     SELECT round(any_value(q), 5) AS q, round(avg(CASE WHEN e <= q THEN 100.0::DOUBLE ELSE 0 END), 5) AS cobertura_pct, round(2 * any_value(q), 5) AS ancho, count(*) AS n
     FROM f CROSS JOIN q WHERE parte = 1"""))
 def conformal(spark, sf):

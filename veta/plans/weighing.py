@@ -31,7 +31,7 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
 
 ALERT = ["id_recepcion", "id_parte", "fecha_hora", "id_silo", "id_contrato", "peso_neto", "score", "tipologia", "severidad"]
 
-ALERT_SHOWN = [F.col(c).cast("string").alias(c) if c == "id_contrato" else c for c in ALERT]
+ALERT_SHOWN = ["CAST(id_contrato AS STRING) AS id_contrato" if c == "id_contrato" else c for c in ALERT]
 ALERT_SQL = ", ".join("CAST(id_contrato AS VARCHAR) AS id_contrato" if c == "id_contrato" else c for c in ALERT)
 
 
@@ -213,7 +213,7 @@ def risk_by_month(spark, sf):
 @query("alerts_top", sql_with(*VIEWS, then=f""", {SCORE_SQL} SELECT {ALERT_SQL} FROM final
     ORDER BY score DESC, {ORDER_SQL} LIMIT 5000"""))
 def alerts_top(spark, sf):
-    return op.alerts(graded(spark, sf), 5000, ORDER).select(*ALERT_SHOWN)
+    return op.alerts(graded(spark, sf), 5000, ORDER).selectExpr(*ALERT_SHOWN)
 
 
 @query("alerts_from_severity", sql_with(*VIEWS, then=f""", {SCORE_SQL} SELECT {ALERT_SQL} FROM final
@@ -222,7 +222,7 @@ def alerts_from_severity(spark, sf):
     """Preview of the alerts from a chosen severity upwards."""
     d = graded(spark, sf)
     level = rank_in("severidad", op.SEVERITIES)
-    return op.alerts(d.filter(level >= op.SEVERITIES.index("alto")), 500, ORDER).select(*ALERT_SHOWN)
+    return op.alerts(d.filter(level >= op.SEVERITIES.index("alto")), 500, ORDER).selectExpr(*ALERT_SHOWN)
 
 
 ISO_FEATURES = ["peso_neto", "tara_ratio", "hora_dec", "humedad_pct", "impurezas_pct", "z_peso_neto", "s_rend",
