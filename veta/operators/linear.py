@@ -5,13 +5,18 @@ The rows are reduced to a p x p table by one aggregate; only that table reaches
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Up to this many columns the cross products are plain sums inside the JVM; beyond it the generated
+# code would grow with the square of the columns, and Arrow batches are faster.
+JVM_COLUMNS = 12
+
 
 @dataclass
 class Moments:
@@ -43,8 +48,10 @@ def moments_by(df: DataFrame, columns: Sequence[str], label: str | None = None)
     d = df.dropna(subset=columns + ([label] if label else []))
     first = d.agg(*[F.avg(c).alias(c) for c in columns]).first()
     centre = {c: first[c] or 0.0 for c in columns}
-    x = _shifted(columns, centre)
     p = len(columns)
+    if p > JVM_COLUMNS:
+        return _moments_by_batches(d, columns, label, np.array([centre[c] for c in columns], float))
+    x = _shifted(columns, centre)
     sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)]
     prods = [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(p) for j in range(i, p)]
     keyed = d.groupBy(label) if label else d.groupBy()
@@ -62,6 +69,32 @@ def moments_by(df: DataFrame, columns: Sequence[str], label: str | None = None)
     return out
 
 
+def _moments_by_batches(d: DataFrame, columns: list[str], label: str | None, centre: np.ndarray) -> dict:
+    """The same for many columns: every task multiplies its Arrow batches and yields one table per label."""
+    p = len(columns)
+    kind = d.schema[label].dataType.simpleString() if label else "int"
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            keys = batch[label] if label else pd.Series(0, index=batch.index)
+            for k, rows in batch.groupby(keys):
+                z = np.column_stack([np.ones(len(rows)), rows[columns].to_numpy(float) - centre])
+                held[k] = held.get(k, 0.0) + z.T @ z
+        if held:
+            yield pd.DataFrame({"k": list(held), "v": [t.ravel() for t in held.values()]})
+
+    parts = d.select(*columns, *([label] if label else [])).mapInPandas(multiply, f"k {kind}, v array<double>")
+    cells = parts.select("k", F.posexplode("v").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x")).toPandas()
+    out = {}
+    for k, cell in cells.groupby("k"):
+        t = cell.sort_values("i")["x"].to_numpy(float).reshape(p + 1, p + 1)
+        n, s = t[0, 0], t[0, 1:]
+        key = (k.item() if hasattr(k, "item") else k) if label else None
+        out[key] = Moments(columns, float(n), centre + s / n, t[1:, 1:] - np.outer(s, s) / n)
+    return out
+
+
 def merge(parts: Sequence[Moments]) -> Moments:
     """Moments of the union of disjoint row sets."""
     n = sum(m.n for m in parts)
