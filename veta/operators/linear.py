@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 # Up to this many columns the cross products are plain sums inside the JVM; beyond it the generated
 # code would grow with the square of the columns, and Arrow batches are faster.
@@ -138,6 +139,20 @@ def linear_expression(columns: Sequence[str], weights: Sequence[float], constant
     return total
 
 
+def affine(df: DataFrame, columns: Sequence[str], weights: np.ndarray, constants: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Columns x'w + b for every column of ``weights``; wide frames are multiplied in Arrow batches."""
+    if len(columns) <= JVM_COLUMNS:
+        return df.withColumns({n: linear_expression(columns, weights[:, i], constants[i]) for i, n in enumerate(names)})
+    w, b = np.asarray(weights, float), np.asarray(constants, float)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def product(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(x.to_numpy()) @ w + b)) if len(x) else pd.Series([], dtype=object)
+
+    d = df.withColumn("_affine", product(F.array(*[F.col(c).cast("double") for c in columns])))
+    return d.withColumns({n: F.col("_affine")[i] for i, n in enumerate(names)}).drop("_affine")
+
+
 # ------------------------------------------------------------------ principal components
 @dataclass
 class Components:
@@ -158,11 +173,8 @@ class Components:
         return float(np.sqrt(self.values[0] / self.values[-1])) if self.values[-1] > 0 else float("inf")
 
     def project(self, df: DataFrame, k: int, prefix: str = "pc") -> DataFrame:
-        out = {}
-        for i in range(k):
-            w = self.vectors[:, i] / self.scale
-            out[f"{prefix}{i + 1}"] = linear_expression(self.columns, w, -float(w @ self.mean))
-        return df.withColumns(out)
+        w = self.vectors[:, :k] / self.scale[:, None]
+        return affine(df, self.columns, w, -(self.mean @ w), [f"{prefix}{i + 1}" for i in range(k)])
 
 
 def components(m: Moments, standardise: bool = True) -> Components:
@@ -291,8 +303,8 @@ def softmax_columns(scores: Sequence[Column], names: Sequence[str]) -> dict[str,
 def lda_probabilities(df: DataFrame, by: Mapping, names: Sequence[str], shrinkage: float = 0.0) -> DataFrame:
     cols = next(iter(by.values())).columns
     w = lda_weights(by, shrinkage)
-    raw = {f"_z{i}": linear_expression(cols, *w[k]) for i, k in enumerate(sorted(w))}
-    d = df.withColumns(raw)
+    raw = [f"_z{i}" for i in range(len(w))]
+    d = affine(df, cols, np.column_stack([w[k][0] for k in sorted(w)]), [w[k][1] for k in sorted(w)], raw)
     return d.withColumns(softmax_columns([F.col(c) for c in raw], names)).drop(*raw)
 
 

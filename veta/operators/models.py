@@ -85,7 +85,7 @@ def zero_model(train: DataFrame, features: list[str], target: str) -> Predict:
 
 
 def _affine(features: Sequence[str], weights: np.ndarray, constant: float) -> Predict:
-    return lambda df: df.withColumn("prediccion", linear.linear_expression(features, weights, constant))
+    return lambda df: linear.affine(df, features, np.asarray(weights)[:, None], [constant], ["prediccion"])
 
 
 def grid_linear(order: Sequence[str], grid: Sequence, fit, folds: int = 4) -> Fitter:
@@ -267,7 +267,7 @@ def lda_axis(fitter: Fitter) -> Fitter:
     def run(train: DataFrame, features: list[str], target: str) -> Predict:
         _, axes = linear.lda_axes(linear.moments_by(train, features, target))
         names = [f"_ld{i + 1}" for i in range(axes.shape[1])]
-        place = lambda df: df.withColumns({n: linear.linear_expression(features, axes[:, i]) for i, n in enumerate(names)})
+        place = lambda df: linear.affine(df, features, axes, np.zeros(len(names)), names)
         inner = fitter(place(train), names, target)
         return lambda df: inner(place(df)).drop(*names)
     return run

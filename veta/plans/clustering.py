@@ -109,7 +109,7 @@ MARKET = ["soya_grano__ret_1m", "soya_aceite__ret_1m", "soya_harina__ret_1m", "p
 @query("market_regimes")
 def market_regimes(spark, sf):
     """Month, regime and crisis mark of every series."""
-    d = scaled(prices.features(spark, sf), MARKET, ["serie", "mes"], logs=False)
+    d = scaled(materialise(prices.features(spark, sf)), MARKET, ["serie", "mes"], logs=False)
     labels, _, k = sweep(d, MARKET, ["serie", "mes"], range(2, 7), RESTARTS)
     crisis = nb.density_clusters(d, MARKET, 1.6, 12).select("serie", "mes", F.when(F.col("grupo") == -1, 1).otherwise(0).alias("crisis"))
     return labels.select("serie", "mes", F.col(f"k{k}").alias("regimen")).join(crisis, ["serie", "mes"])
@@ -120,7 +120,7 @@ def market_regime_anova(spark, sf):
     """Which variables separate the market regimes (F and p)."""
     from veta.operators.stats import anova
 
-    d = scaled(prices.features(spark, sf), MARKET, ["serie", "mes"], logs=False)
+    d = scaled(materialise(prices.features(spark, sf)), MARKET, ["serie", "mes"], logs=False)
     return rounded(anova(op.kmeans_labels(d, MARKET, 2, "regimen", RESTARTS), "regimen", MARKET), 6)
 
 

@@ -259,9 +259,11 @@ def smoke_model(spark, sf):
 def price_frame(spark, sf, horizon=3):
     """Features, three-month change of the bean price and purged split, over all series."""
     p = pr.future_change(prices.panel(spark, sf), "serie", "soya_grano", horizon, True, "y").select("serie", "mes", "soya_grano", "y")
-    f = prices.features(spark, sf)
+    # Written once: a filter on a hundred window expressions would be copied into every step above it.
+    f = materialise(prices.features(spark, sf))
     names = pr.feature_names(f)
     whole = f.dropna(subset=names).join(p, ["serie", "mes"])
+    whole = materialise(whole)
     rows = splits.purged(whole.filter("y is not null"), ["serie"], ["mes"], horizon)
     rows = rows.unionByName(whole.filter("y is null").withColumn("split", F.lit("futuro")))
     rows = materialise(rows.withColumn("fila", F.concat_ws("|", "serie", F.col("mes").cast("string"))))
@@ -381,7 +383,7 @@ def crush_forecast_error(spark, sf):
     """Crush margin three months ahead (difference target): ridge against no change."""
     p = prices.panel(spark, sf).withColumn("crush", crush_spread("soya_harina", "soya_aceite", "soya_grano"))
     p = pr.future_change(p, "serie", "crush", 3, False, "y").select("serie", "mes", "crush", "y")
-    f = prices.features(spark, sf)
+    f = materialise(prices.features(spark, sf))
     names = [c for c in pr.feature_names(f) if c.startswith(("crush__", "rat__", "est__"))]
     rows = materialise(splits.purged(f.dropna(subset=names).join(p.filter("y is not null"), ["serie", "mes"]), ["serie"], ["mes"], 3))
     enc = md.learn_encoder(rows.filter("split = 'train'"), names)
