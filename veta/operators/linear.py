@@ -293,30 +293,30 @@ def lda_axes(by: Mapping) -> tuple[np.ndarray, np.ndarray]:
     return lam / lam.sum() if lam.sum() > 0 else lam, axes
 
 
-def softmax_columns(scores: Sequence[Column], names: Sequence[str]) -> dict[str, Column]:
-    top = F.greatest(*scores)
-    parts = [F.exp(s - top) for s in scores]
-    total = sum(parts[1:], parts[0])
-    return {n: p / total for n, p in zip(names, parts, strict=True)}
+def _batch_probabilities(df: DataFrame, columns: Sequence[str], scores, names: Sequence[str]) -> DataFrame:
+    """Class probabilities from ``scores`` (rows x columns -> rows x classes), in Arrow batches."""
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def share(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        z = scores(np.stack(x.to_numpy()))
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return pd.Series(list(e / e.sum(axis=1, keepdims=True)))
+
+    d = df.withColumn("_p", share(F.array(*[F.col(c).cast("double") for c in columns])))
+    return d.withColumns({n: F.col("_p")[i] for i, n in enumerate(names)}).drop("_p")
 
 
 def lda_probabilities(df: DataFrame, by: Mapping, names: Sequence[str], shrinkage: float = 0.0) -> DataFrame:
-    cols = next(iter(by.values())).columns
     w = lda_weights(by, shrinkage)
-    raw = [f"_z{i}" for i in range(len(w))]
-    d = affine(df, cols, np.column_stack([w[k][0] for k in sorted(w)]), [w[k][1] for k in sorted(w)], raw)
-    return d.withColumns(softmax_columns([F.col(c) for c in raw], names)).drop(*raw)
+    weights, constants = np.column_stack([w[k][0] for k in sorted(w)]), np.array([w[k][1] for k in sorted(w)])
+    return _batch_probabilities(df, next(iter(by.values())).columns, lambda x: x @ weights + constants, names)
 
 
 def qda_probabilities(df: DataFrame, by: Mapping, names: Sequence[str], reg: float = 0.5) -> DataFrame:
-    cols = next(iter(by.values())).columns
-    raw = {}
-    for i, (_, (inv, mean, const)) in enumerate(sorted(qda_terms(by, reg).items())):
-        d = [F.col(c) - F.lit(float(m)) for c, m in zip(cols, mean, strict=True)]
-        quad = F.lit(0.0)
-        for a in range(len(cols)):
-            for b in range(a, len(cols)):
-                quad = quad + d[a] * d[b] * F.lit(float(inv[a, b] * (1 if a == b else 2)))
-        raw[f"_z{i}"] = F.lit(const) - 0.5 * quad
-    d = df.withColumns(raw)
-    return d.withColumns(softmax_columns([F.col(c) for c in raw], names)).drop(*raw)
+    terms = [t for _, t in sorted(qda_terms(by, reg).items())]
+
+    def scores(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([const - 0.5 * np.einsum("ij,jk,ik->i", x - mean, inv, x - mean) for inv, mean, const in terms])
+
+    return _batch_probabilities(df, next(iter(by.values())).columns, scores, names)

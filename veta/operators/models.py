@@ -25,6 +25,7 @@ from veta.operators.prep import apply_scale, fill_category, learned_medians, lea
 from veta.operators.sequence import positions
 from veta.operators.splits import expanding_folds, stratified_folds
 from veta.operators.stats import short_series
+from veta.session import materialise
 
 Predict = Callable[[DataFrame], DataFrame]
 Fitter = Callable[[DataFrame, list[str], str], Predict]
@@ -110,7 +111,8 @@ def reduced(fitter: Fitter, share: float = 0.90) -> Fitter:
         c = linear.components(linear.moments(train, features))
         k = min(c.needed(share), len(features))
         names = [f"_pc{i + 1}" for i in range(k)]
-        inner = fitter(c.project(train, k, "_pc"), names, target)
+        # Written once: the fitter reads the projected rows several times.
+        inner = fitter(materialise(c.project(train, k, "_pc").drop(*features)), names, target)
         return lambda df: inner(c.project(df, k, "_pc")).drop(*names)
     return run
 

@@ -313,6 +313,7 @@ def sparse_price_model(spark, sf):
 def direction_model(spark, sf):
     """Down, sideways or up by half a training deviation: discriminants against the majority."""
     d, f = price_frame(spark, sf)
+    f = [c for c in f if c.endswith(("__ret_3m", "crush__z24", "enso__anom", "__mes_sin", "__mes_cos"))]
     sd = d.filter("split = 'train'").agg(F.stddev_pop("y")).first()[0]
     d = materialise(d.filter("y is not null").withColumn("clase", direction_class("y", 0.5 * sd)))
     _, _, te, tv = parts(d)
