@@ -1,4 +1,4 @@
 """Loads every module of this folder that registers a query."""
 
-from veta.llm import bpe, simhash  # noqa: F401
+from veta.llm import bpe, rotated_codes, simhash  # noqa: F401
 from veta.llm.common import ORACLES, QUERIES  # noqa: F401
