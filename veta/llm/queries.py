@@ -1,4 +1,4 @@
 """Loads every module of this folder that registers a query."""
 
-from veta.llm import bpe, language, licenses, main_text, mixing, rotated_codes, simhash, warc  # noqa: F401
+from veta.llm import bpe, language, licenses, main_text, mixing, multiset, rotated_codes, simhash, warc  # noqa: F401
 from veta.llm.common import ORACLES, QUERIES  # noqa: F401
