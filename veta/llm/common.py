@@ -41,6 +41,20 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns named c0, c1, ..., so that columns added for a while cannot clash; ``named`` undoes it."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def named(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(like.columns)])
+
+
+def at(df: DataFrame, column: str) -> str:
+    """The name that ``numbered`` gives to a column."""
+    return f"c{df.columns.index(column)}"
+
+
 def process_memo(name: str, make: Callable[[], object]) -> object:
     """An object that lives as long as the worker process, so that later tasks find it filled."""
     home = sys.modules.setdefault("_veta_llm_process", types.ModuleType("_veta_llm_process")).__dict__

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veta.llm.common import byte_view, narrow, portions, query, table
+from veta.llm.common import at, byte_view, named, narrow, numbered, portions, query, table
 
 BUCKETS, DIM = 1 << 14, 16
 PER_LANG, TRAIN_CHARS = 400, 4_000
@@ -53,10 +53,10 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     gram = wide
     for n in (2, 3, 4):
         gram = gram[:-1] << np.uint32(8) | wide[n - 1:]
-        at = np.arange(len(gram))
+        place = np.arange(len(gram))
         # A text ends with the space that the next one starts with.
-        own = np.searchsorted(starts[1:], at, "right")
-        inside = at + n - 1 <= starts[np.minimum(own + 1, len(starts) - 1)]
+        own = np.searchsorted(starts[1:], place, "right")
+        inside = place + n - 1 <= starts[np.minimum(own + 1, len(starts) - 1)]
         word = (gram & np.uint32(0xFFFF)) != 0x2020
         good = inside & word
         yield (gram[good] * np.uint32(HASHES[n]) >> np.uint32(32 - 14)).astype(np.int32), np.bincount(own[good], minlength=len(offsets) - 1)[: len(offsets) - 1]
@@ -118,8 +118,8 @@ def stretched(rows: list[tuple[str, str]], rng: np.random.Generator) -> list[tup
     out = list(rows)
     for lang, text in rows:
         words = text.split()
-        at = int(rng.integers(0, max(1, len(words) - 3)))
-        out.append((lang, " ".join(words[at: at + int(rng.integers(1, 20))])))
+        first = int(rng.integers(0, max(1, len(words) - 3)))
+        out.append((lang, " ".join(words[first: first + int(rng.integers(1, 20))])))
     return out
 
 
@@ -157,8 +157,8 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RATE,
 def calibrate(model: Model, held: list[tuple[str, str]], lost: float) -> Model:
     z = model.logits(*packed([t for _, t in held]))
     y = np.array([model.langs.index(lang) for lang, _ in held])
-    at = np.arange(len(y))
-    model.temperature = min(np.geomspace(0.05, 20, 61), key=lambda t: -np.log(softmax(z / t)[at, y] + 1e-12).mean())
+    every = np.arange(len(y))
+    model.temperature = min(np.geomspace(0.05, 20, 61), key=lambda t: -np.log(softmax(z / t)[every, y] + 1e-12).mean())
     p = softmax(z / model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
     model.reject_below = float(min(0.5, np.quantile(right, lost, method="lower"))) if len(right) else 0.5
@@ -207,6 +207,23 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     return frame.mapInArrow(run, f"`{key}` {frame.schema['key'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows whose language the model does not reject, with all their columns."""
+    where, width = docs.columns.index(text), len(docs.columns)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = batch.column(width).to_numpy(zero_copy_only=False).astype(bool)
+            if model is not None and len(keep):
+                data, offsets = byte_view(batch.column(where))
+                scores = [model.predict(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])[1] for i, j in portions(offsets, 1 << 20)]
+                keep = keep & (np.concatenate(scores) >= model.reject_below)
+            yield batch.select(range(width)).filter(pa.array(keep & (model is not None)))
+
+    own = numbered(docs)
+    return named(own.withColumn("letter", F.coalesce(F.col(at(docs, text)).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, own.schema), docs)
+
+
 @query("op10_language")
 def op10_language(spark, sf):
     docs = table(spark, sf, "documents")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veta.llm.common import byte_view, narrow, portions, query, table
+from veta.llm.common import at, byte_view, named, narrow, numbered, portions, query, table
 from veta.session import materialise, shuffle_partitions
 
 LENGTH, PIECE = 50, 16
@@ -420,8 +420,7 @@ def kept_text(buckets: int) -> Callable:
         data, offsets, gone = removed(docs, facts, buckets)
         here = docs.column("text").is_valid().to_pylist()
         texts = [data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") if ok else None for a, b, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), here, strict=True)]
-        at = docs.schema.get_field_index("text")
-        return docs.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["key", "order", "block"])
+        return docs.set_column(docs.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["key", "order", "block"])
 
     return run
 
@@ -453,10 +452,13 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             .applyInArrow(report(key, buckets), f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"))
 
 
-def rewrite(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows without the repeated bytes of their column text; characters of which a part goes go whole."""
-    placed, facts, buckets = in_blocks(docs.select("*", F.col(key).alias("key")))
-    return placed.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(kept_text(buckets), docs.schema)
+def rewrite(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows with all their columns, without the repeated bytes of the text; characters of which a part goes go whole."""
+    own = at(docs, text)
+    frame = numbered(docs).withColumn("key", F.col(at(docs, key))).withColumnRenamed(own, "text")
+    placed, facts, buckets = in_blocks(frame)
+    found = placed.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(kept_text(buckets), frame.drop("key").schema)
+    return named(found.withColumnRenamed("text", own), docs)
 
 
 @query("op6_repeats")

@@ -19,10 +19,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veta.llm.common import byte_view, narrow, portions, query, table
+from veta.llm.common import at, byte_view, named, narrow, numbered, portions, query, table
 from veta.llm.graph import components
 from veta.session import materialise
 
@@ -43,11 +43,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     first = ~space & before
     keep = ~space | ~before
     low[space] = 32
-    at = np.concatenate(([0], np.cumsum(keep)))
+    place = np.concatenate(([0], np.cumsum(keep)))
     starts = np.flatnonzero(first)
     after = (np.concatenate((space[1:], [True])) | edge[1:]) if len(data) else np.zeros(0, bool)
     ends = np.flatnonzero(~space & after) + 1
-    return low[keep], at[starts], at[ends], np.diff(np.searchsorted(starts, offsets))
+    return low[keep], place[starts], place[ends], np.diff(np.searchsorted(starts, offsets))
 
 
 def shingle_spans(starts: np.ndarray, ends: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,8 +55,8 @@ def shingle_spans(starts: np.ndarray, ends: np.ndarray, words: np.ndarray, size:
     counts = np.where(words >= size, words - size + 1, np.minimum(words, 1))
     base = np.cumsum(words) - words
     own = np.repeat(np.arange(len(words)), counts)
-    at = base[own] + np.arange(len(own)) - (np.cumsum(counts) - counts)[own]
-    return starts[at], ends[at + np.minimum(words, size)[own] - 1], counts
+    word = base[own] + np.arange(len(own)) - (np.cumsum(counts) - counts)[own]
+    return starts[word], ends[word + np.minimum(words, size)[own] - 1], counts
 
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
@@ -75,17 +75,17 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndar
 
 
 def fingerprints(docs: DataFrame, size: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint long) of every row: bit b is set if it is set in over half of the hashes of the ``size``-word shingles."""
-    frame = narrow(docs, key=key, text=text)
+    """(key, h, fingerprint long) of every row: bit b is set if it is set in over half of the hashes of the ``size``-word shingles; h is a hash of the text."""
+    frame = narrow(docs, key=key, text=text).withColumn("h", F.xxhash64("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_view(batch.column(1))
             parts = [fingerprints_of(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], size) for i, j in portions(offsets, PORTION)]
             found = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=[key, "fingerprint"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["key", "h", "fingerprint"])
 
-    return frame.mapInArrow(run, f"`{key}` {frame.schema['key'].dataType.simpleString()}, fingerprint bigint")
+    return frame.mapInArrow(run, f"key {frame.schema['key'].dataType.simpleString()}, h bigint, fingerprint bigint")
 
 
 def masks(blocks: int = BLOCKS, bits: int = BITS) -> list[int]:
@@ -149,15 +149,32 @@ def links(values: DataFrame, bits: int = BITS, blocks: int = BLOCKS, chunk: int
     return alone.union(crowded).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint long, component_id) of every row; component_id is the smallest key reachable over links."""
-    marks = materialise(fingerprints(docs, size, key, text).withColumnRenamed(key, "key"))
+def grouped(docs: DataFrame, size: int = 3, bits: int = BITS, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(key, h, fingerprint) of every row, and (fingerprint, root, component_id) of every fingerprint."""
+    marks = materialise(fingerprints(docs, size, key, text))
     nodes = materialise(marks.groupBy("fingerprint").agg(F.min("key").alias("least")))
     roots = components(links(nodes.select("fingerprint"), bits)).toDF("fingerprint", "root")
     placed = nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     ends = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(ends, "root").select("fingerprint", "component_id")
-    return marks.join(named, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
+    return marks, placed.join(ends, "root").select("fingerprint", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fingerprint long, component_id) of every row; component_id is the smallest key reachable over links."""
+    marks, found = grouped(docs, size, bits, key, text)
+    return marks.join(found, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
+
+
+def representatives(docs: DataFrame, size: int = 3, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component with all its columns: that of the smallest key, of equal keys that of the smallest text hash."""
+    marks, found = grouped(docs, size, bits, key, text)
+    rows = marks.join(found, "fingerprint").groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "h")).alias("m"))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    chosen = materialise(rows.select(name("m.key").alias("k"), F.col("m.h").alias("h")).distinct())
+    own = numbered(docs).withColumn("k", name(at(docs, key))).withColumn("h", F.xxhash64(at(docs, text)))
+    # Rows that are the same in key and text are one document.
+    once = own.join(chosen, ["k", "h"], "left_semi").withColumn("no", F.row_number().over(Window.partitionBy("k", "h").orderBy("h"))).where("no = 1")
+    return named(once, docs)
 
 
 @query("op2_simhash")
