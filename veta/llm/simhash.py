@@ -131,7 +131,7 @@ def links(values: DataFrame, bits: int = BITS, blocks: int = BLOCKS, chunk: int
             for own in batch.column(0):
                 values = own.values.to_numpy(zero_copy_only=False)
                 if len(values) == 2:
-                    if (int(values[0]) ^ int(values[1]) & (1 << 64) - 1).bit_count() <= bits:
+                    if ((int(values[0]) ^ int(values[1])) & (1 << 64) - 1).bit_count() <= bits:
                         a.append(values[:1])
                         b.append(values[1:])
                     continue
