@@ -147,6 +147,26 @@ def scan(docs: DataFrame, wanted: dict[str, str] = PHRASES, templates=TEMPLATES,
                          F.array_join(every, ",").alias("labels"), score.alias("score"))
 
 
-@query("op7_licenses")
+def oracle() -> str:
+    """The same scan in SQL, phrase by phrase and template by template."""
+    low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+    split = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    named = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHRASES.items())
+    texts = ", ".join(f"({i}, '{label}', {template_words(t)})" for i, (label, t) in enumerate(TEMPLATES))
+    return f"""WITH phrase(p, n, label) AS (VALUES {named}), template(no, label, held) AS (VALUES {texts}),
+    d AS (SELECT doc_id, {split.format(low)} AS w, string_split({low}, chr(10)) AS lines FROM documents),
+    b AS (SELECT doc_id, i - 1 AS place, label FROM d, phrase, range(1, len(w) + 1) r(i) WHERE array_to_string(w[i:i + n - 1], ' ') = p),
+    base AS (SELECT doc_id, count(*) AS n, min(place) AS first, max(place) AS last, list(DISTINCT label) AS labels FROM b GROUP BY 1),
+    line AS (SELECT doc_id, list_distinct({split.format("line")}) AS held FROM (SELECT doc_id, unnest(lines) AS line FROM d)),
+    met AS (SELECT doc_id, label, len(list_intersect(l.held, t.held)) / len(t.held)::DOUBLE AS share FROM line l, template t
+      WHERE len(list_intersect(l.held, t.held)) >= ceil({THRESHOLD} * len(t.held) - 1e-9)),
+    more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS best FROM met GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word,
+      coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+      array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+      CASE WHEN n > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)"""
+
+
+@query("op7_licenses", oracle())
 def op7_licenses(spark, sf):
     return scan(table(spark, sf, "documents"))

@@ -461,6 +461,19 @@ def rewrite(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return named(found.withColumnRenamed("text", own), docs)
 
 
-@query("op6_repeats")
+ORACLE = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    w AS (SELECT doc_id, i, substr(x, (2 * i + 1)::BIGINT, 100) AS s FROM d, range(0, n - 49) r(i)),
+    f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+    r AS (SELECT doc_id, i, i - lag(i, 1, -100) OVER (PARTITION BY doc_id ORDER BY i) > 50 AS fresh FROM w JOIN f USING (s) WHERE m < doc_id),
+    g AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r),
+    p AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY ALL),
+    q AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM p),
+    t AS (SELECT d.doc_id, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(x, (2 * z + 1)::BIGINT, (2 * (a - z))::BIGINT), '' ORDER BY a)
+      || substr(any_value(x), (2 * max(b) + 1)::BIGINT) AS kept FROM q JOIN d USING (doc_id) GROUP BY 1)
+    SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+    FROM d LEFT JOIN t USING (doc_id)"""
+
+
+@query("op6_repeats", ORACLE)
 def op6_repeats(spark, sf):
     return spans(table(spark, sf, "documents"))

@@ -206,6 +206,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
                     F.col("key").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
-@query("op9_rotated_codes")
+ORACLE = """WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding::DOUBLE[] AS e,
+      label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fit FROM embeddings),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND a.fit AND b.fit AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+    c AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT l.b, c.c FROM c JOIN l ON l.a = c.a)
+    SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, (SELECT min(c) FROM c WHERE c.a = vec_id) AS component_id,
+      vec_id = (SELECT min(c) FROM c WHERE c.a = vec_id) AS kept FROM v"""
+
+
+@query("op9_rotated_codes", ORACLE)
 def op9_rotated_codes(spark, sf):
     return near_duplicates(table(spark, sf, "embeddings"))
