@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veta.llm.common import at, byte_view, named, narrow, numbered, portions, query, table
-from veta.session import materialise, shuffle_partitions
+from veta.session import shuffle_partitions
 
 LENGTH, PIECE = 50, 16
 #: Strings of a stretch, at most; a bit each in a mask.
@@ -213,31 +213,40 @@ class Candidates:
         np.minimum.at(self.least, self.ids, self.order[own])
         self.names, self.hot = np.zeros(len(self.texts), np.uint64), np.zeros(len(self.texts), bool)
         self.names[self.ids], self.hot[self.ids] = mine, hot
+        for i in np.flatnonzero(self.hot).tolist():
+            self.names[i] = int.from_bytes(hashlib.blake2b(self.texts[i], digest_size=8).digest(), "little")
 
+    def parts(self, buckets: int) -> list[tuple[int, np.ndarray]]:
+        """Numbers of the distinct stretches by the part that settles them: their anchor's bucket, of a hot one any."""
+        part = np.where(self.hot, self.names % np.uint64(buckets), self.names >> np.uint64(40)).astype(np.int64)
+        order, at = groups(part)
+        return [(int(part[ids[0]]), ids) for ids in np.split(order, at[1:])] if len(order) else []
 
-def send_stretches(buckets: int, parts: int) -> Callable:
-    def run(key: tuple, docs: pa.Table, facts: pa.Table) -> pa.Table:
-        import xxhash
 
+def send_stretches(buckets: int) -> Callable:
+    """Each part gets the block's distinct stretches in the order of their numbers, so it can answer by place."""
+
+    def run(key: tuple, docs: pa.Table, facts: pa.Table) -> pa.Table:
         own = Candidates(docs, facts, buckets) if len(docs) and len(facts) else None
         rows = []
         if own and own.texts:
-            names = own.names.copy()
-            for i in np.flatnonzero(own.hot).tolist():
-                names[i] = xxhash.xxh64_intdigest(own.texts[i])
-            part = ((names * ODD[0] ^ names >> np.uint64(31)) * ODD[1] >> np.uint64(33)) % np.uint64(parts)
-            order, at = groups(part)
-            for ids in np.split(order, at[1:]):
+            for part, ids in own.parts(buckets):
                 texts = [own.texts[i] for i in ids.tolist()]
-                rows.append((int(part[ids[0]]), ids.astype("<u4").tobytes(), np.array([len(t) for t in texts], "u1").tobytes(), b"".join(texts),
-                             own.least[ids].astype("<i8").tobytes(), names[ids].astype("<u8").tobytes()))
-        part, ids, sizes, texts, least, names = zip(*rows, strict=True) if rows else ((),) * 6
-        return pa.table({"part": pa.array(part, pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()),
-                         **{n: pa.array(v, pa.binary()) for n, v in (("ids", ids), ("sizes", sizes), ("texts", texts), ("least", least), ("names", names))}})
+                holders, holder = np.unique(own.least[ids], return_inverse=True)
+                sizes, joined = np.array([len(t) for t in texts], "u1").tobytes(), b"".join(texts)
+                rows.append((part, len(ids), pa.compress(sizes, "zstd", asbytes=True), len(joined), pa.compress(joined, "zstd", asbytes=True),
+                             holders.astype("<i8").tobytes(), holder.astype("<u4").tobytes(), five(own.names[ids])))
+        part, n, sizes, length, texts, holders, holder, names = zip(*rows, strict=True) if rows else ((),) * 8
+        return pa.table({"part": pa.array(part, pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "n": pa.array(n, pa.int64()),
+                         "length": pa.array(length, pa.int64()),
+                         **{c: pa.array(v, pa.binary()) for c, v in (("sizes", sizes), ("texts", texts), ("holders", holders), ("holder", holder), ("names", names))}})
 
     return run
 
 
+SENT = "part int, block int, n bigint, length bigint, sizes binary, texts binary, holders binary, holder binary, names binary"
+
+
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of some strings.
 
@@ -251,6 +260,10 @@ class RunIndex:
         ends = np.cumsum(sizes + 1) - 1
         text[ends] = 0
         order = self.suffixes(text)
+        # Where in the order each text's last string stands: from there its other strings are reached step by step.
+        place = np.empty(len(text), np.int64)
+        place[order] = np.arange(len(text))
+        self.toe = place[ends - LENGTH]
         before = text[order - 1]
         change = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         self.heads, self.length = before[change].astype(np.int64), len(text)
@@ -266,9 +279,9 @@ class RunIndex:
         # Where neighbours in the order differ within LENGTH characters.
         differ = np.zeros(len(text), bool)
         differ[0] = True
-        wide = np.concatenate((text, np.zeros(LENGTH, np.uint16)))
-        for k in range(LENGTH):
-            c = wide[order + k]
+        words = self.packed(text, 7)
+        for k in (*range(0, LENGTH - 6, 7), LENGTH - 7):
+            c = words[np.minimum(order + k, len(text) - 1)]
             differ[1:] |= c[1:] != c[:-1]
         self.cuts = np.concatenate((np.flatnonzero(differ), [len(text)]))
         of = np.repeat(least, sizes + 1)[order]
@@ -277,19 +290,23 @@ class RunIndex:
         first = np.flatnonzero(of == np.repeat(self.least, np.diff(self.cuts)))
         self.samples = order[first[np.searchsorted(first, self.cuts[:-1])]]
 
+    @staticmethod
+    def packed(text: np.ndarray, width: int) -> np.ndarray:
+        """The ``width`` characters from each place on as one number."""
+        wide, out = np.concatenate((text, np.zeros(width, np.uint16))).astype(np.uint64), np.zeros(len(text), np.uint64)
+        for k in range(width):
+            out = out << np.uint64(9) | wide[k: len(text) + k]
+        return out
+
     @staticmethod
     def suffixes(text: np.ndarray) -> np.ndarray:
         """Order of the suffixes by their first 56 characters: seven packed at first, then doubled three times."""
-        n = len(text)
-        wide = np.concatenate((text, np.zeros(64, np.uint16))).astype(np.uint64)
-        packed = np.zeros(n, np.uint64)
-        for k in range(7):
-            packed = packed << np.uint64(9) | wide[k: n + k]
+        n, packed = len(text), RunIndex.packed(text, 7)
         for step in (0, 7, 14, 28):
             if step:
                 after = np.concatenate((rank[step:], np.zeros(step, np.uint64)))
                 packed = rank << np.uint64(32) | after
-            order = np.argsort(packed, kind="stable")
+            order = np.argsort(packed)
             ordered = packed[order]
             rank = np.empty(n, np.uint64)
             rank[order] = np.cumsum(np.concatenate(([1], ordered[1:] != ordered[:-1]))).astype(np.uint64)
@@ -301,82 +318,78 @@ class RunIndex:
         inside = (run >= 0) & (self.chars[run] == chars)
         return np.where(inside, self.seen[run] + np.minimum(self.spans[run], at - self.starts[run]), 0)
 
-    def step(self, chars: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the matches with one more character to the left."""
-        base = self.smaller[chars]
-        return base + self.rank(chars, low), base + self.rank(chars, high)
-
-    def interval(self, low: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.cuts, low, "right") - 1
+    def interval(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts, place, "right") - 1
 
     def matches(self, texts: list[bytes]) -> np.ndarray:
-        """(texts x STRETCH) interval of each string of each text, -1 beyond its last; a text holds some string of the index."""
-        sizes = np.array([len(t) for t in texts])
-        order = np.argsort(-sizes, kind="stable")
-        sizes = sizes[order]
-        wide = np.zeros((len(texts), int(sizes[0])), np.int64)
-        for i, t in enumerate(order.tolist()):
-            wide[i, : sizes[i]] = np.frombuffer(texts[t], np.uint8)
+        """(texts x STRETCH) interval of each string of each of the index's texts, -1 beyond its last.
+
+        From the sample at a text's last string, each step to the left extends the match by a character and cuts it back
+        to ``LENGTH``, which widens it to the interval of all suffixes that share so much.  The start of an interval is
+        enough to go on from: one of its suffixes has the character before it.
+        """
+        last = np.array([len(t) for t in texts]) - LENGTH
+        order = np.argsort(-last, kind="stable")
         found = np.full((len(texts), STRETCH), -1, np.int64)
-        low, high = np.zeros(len(texts), np.int64), np.full(len(texts), self.length, np.int64)
-        for step in range(int(sizes[0])):
-            live = int(np.searchsorted(-sizes, -step, "left"))
-            at = sizes[:live] - 1 - step
-            low, high = self.step(wide[np.arange(live), at] + 1, low[:live], high[:live])
-            if step >= LENGTH - 1:
-                # A longer match is cut to LENGTH: the interval widens to all suffixes that share so much.
-                k = self.interval(low)
-                found[order[:live], at] = k
-                low, high = self.cuts[k], self.cuts[k + 1]
+        now = self.interval(self.toe)
+        found[np.arange(len(texts)), last] = now
+        wide = np.zeros((len(texts), STRETCH), np.int64)
+        flat = np.frombuffer(b"".join([t[:-LENGTH] for t in texts]), np.uint8)
+        row = np.repeat(np.arange(len(texts)), last)
+        wide[row, np.arange(len(flat)) - np.repeat(np.cumsum(last) - last, last)] = flat
+        now, last, wide = now[order], last[order], wide[order]
+        for step in range(1, int(last[0]) + 1 if len(last) else 1):
+            live = int(np.searchsorted(-last, -step, "right"))
+            at = last[:live] - step
+            chars = wide[np.arange(live), at] + 1
+            now = self.interval(self.smaller[chars] + self.rank(chars, self.cuts[now[:live]]))
+            found[order[:live], at] = now
         return found
 
 
-def settle(parts: int) -> Callable:
-    def run(key: tuple, sent: pa.Table) -> pa.Table:
-        cols = {c: sent.column(c).to_pylist() for c in ("block", "ids", "sizes", "texts", "least", "names")}
-        texts: list[bytes] = []
-        for sizes, text in zip(cols["sizes"], cols["texts"], strict=True):
-            ends = np.cumsum(np.frombuffer(sizes, "u1").astype(np.int64)).tolist()
-            texts += [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        least, names = (np.frombuffer(b"".join(cols[c]), kind) for c, kind in (("least", "<i8"), ("names", "<u8")))
-        number: dict[bytes, int] = {}
-        own = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
-        smallest, name = np.full(len(number), LAST), np.zeros(len(number), np.uint64)
-        np.minimum.at(smallest, own, least)
-        name[own] = names
-        masks = np.where(smallest[own] < least, ~np.uint64(0), np.uint64(0))
-        order, at = groups(name)
-        sizes = np.diff(np.concatenate((at, [len(order)])))
-        disputed = np.flatnonzero(np.repeat(sizes > 1, sizes))
-        if len(disputed):
-            these = order[disputed]
-            distinct = list(number)
-            strings = [distinct[i] for i in these.tolist()]
-            index = RunIndex(strings, smallest[these])
-            found = index.matches(strings)
-            held = np.where(found >= 0, index.least[found], LAST)
-            place = np.full(len(number), -1)
-            place[these] = np.arange(len(these))
-            rows = np.flatnonzero(place[own] >= 0)
-            for s in range(0, len(rows), 1 << 14):
-                part = rows[s: s + (1 << 14)]
-                earlier = held[place[own[part]]] < least[part, None]
-                masks[part] = np.packbits(earlier, axis=1, bitorder="little").view("<u8")[:, 0]
-        out, at = [], 0
-        for block, ids in zip(cols["block"], cols["ids"], strict=True):
-            ids = np.frombuffer(ids, "<u4")
-            mine = masks[at: at + len(ids)]
-            at += len(ids)
-            some = np.flatnonzero(mine)
-            if len(some):
-                out.append((block, ids[some].tobytes(), mine[some].astype("<u8").tobytes()))
-        blocks, ids, bits = zip(*out, strict=True) if out else ((), (), ())
-        none = pa.nulls(len(out), pa.binary())
-        # In the columns of the facts: the numbers take the place of the anchors' heat.
-        return pa.table({"block": pa.array(blocks, pa.int32()), "bucket": pa.nulls(len(out), pa.int32()), "anchors": none, "hot": pa.array(ids, pa.binary()),
-                         "masks": pa.array(bits, pa.binary())})
-
-    return run
+def settle(key: tuple, sent: pa.Table) -> pa.Table:
+    cols = {c: sent.column(c).to_pylist() for c in ("block", "n", "length", "sizes", "texts", "holders", "holder", "names")}
+    texts: list[bytes] = []
+    for n, length, sizes, text in zip(cols["n"], cols["length"], cols["sizes"], cols["texts"], strict=True):
+        text = pa.decompress(text, length, "zstd", asbytes=True)
+        ends = np.cumsum(np.frombuffer(pa.decompress(sizes, n, "zstd", asbytes=True), "u1").astype(np.int64)).tolist()
+        texts += [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    least = np.concatenate([np.frombuffer(h, "<i8")[np.frombuffer(i, "<u4")] for h, i in zip(cols["holders"], cols["holder"], strict=True)])
+    names = np.concatenate([unfive(x) for x in cols["names"]])
+    number: dict[bytes, int] = {}
+    own = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
+    smallest, name = np.full(len(number), LAST), np.zeros(len(number), np.uint64)
+    np.minimum.at(smallest, own, least)
+    name[own] = names
+    masks = np.where(smallest[own] < least, ~np.uint64(0), np.uint64(0))
+    order, at = groups(name)
+    sizes = np.diff(np.concatenate((at, [len(order)])))
+    disputed = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    if len(disputed):
+        these = order[disputed]
+        distinct = list(number)
+        strings = [distinct[i] for i in these.tolist()]
+        index = RunIndex(strings, smallest[these])
+        found = index.matches(strings)
+        place = np.full(len(number), -1)
+        place[these] = np.arange(len(these))
+        rows = np.flatnonzero(place[own] >= 0)
+        for s in range(0, len(rows), 1 << 14):
+            part = rows[s: s + (1 << 14)]
+            where = found[place[own[part]]]
+            earlier = (where >= 0) & (index.least[where] < least[part, None])
+            masks[part] = np.packbits(earlier, axis=1, bitorder="little").view("<u8")[:, 0]
+    out, at = [], 0
+    for block, n in zip(cols["block"], cols["n"], strict=True):
+        mine = masks[at: at + n]
+        at += n
+        some = np.flatnonzero(mine)
+        if len(some):
+            out.append((block, some.astype("<u4").tobytes(), mine[some].astype("<u8").tobytes()))
+    blocks, places, bits = zip(*out, strict=True) if out else ((), (), ())
+    # In the columns of the facts: the part in the bucket's, places within what the block sent to it in the heat's.
+    return pa.table({"block": pa.array(blocks, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int32()), "anchors": pa.nulls(len(out), pa.binary()),
+                     "hot": pa.array(places, pa.binary()), "masks": pa.array(bits, pa.binary())})
 
 
 def removed(docs: pa.Table, facts: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -386,9 +399,10 @@ def removed(docs: pa.Table, facts: pa.Table, buckets: int) -> tuple[np.ndarray,
     if len(facts):
         own = Candidates(docs, facts, buckets)
         masks = np.zeros(len(own.texts), np.uint64)
-        for ids, bits in zip(facts.column("hot").to_pylist(), facts.column("masks").to_pylist(), strict=True):
+        sent = dict(own.parts(buckets))
+        for part, places, bits in zip(*(facts.column(c).to_pylist() for c in ("bucket", "hot", "masks")), strict=True):
             if bits is not None:
-                masks[np.frombuffer(ids, "<u4")] = np.frombuffer(bits, "<u8")
+                masks[sent[part][np.frombuffer(places, "<u4")]] = np.frombuffer(bits, "<u8")
         # Whoever is not the smallest holder of a stretch in the block has all its strings earlier.
         mine = np.where(own.order[own.own] > own.least[own.ids], ~np.uint64(0), masks[own.ids])
         bits = np.unpackbits(mine.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
@@ -435,12 +449,11 @@ def in_blocks(frame: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     order = F.coalesce(F.col("key").cast("long"), F.lit(LAST))
     placed = frame.withColumn("order", order).withColumn("block", F.pmod(F.xxhash64("key", F.octet_length("text")), F.lit(blocks)).cast("int"))
     docs = placed.repartition(shuffle_partitions(spark), "block")
-    sent = docs.select("text", "order", "block").groupBy("block").applyInArrow(send_anchors(buckets), "bucket int, block int, anchors binary, more binary, counts binary")
-    again = materialise(sent.groupBy("bucket").applyInArrow(find_repeated, FACTS))
-    pieces = (docs.select("text", "order", "block").groupBy("block").cogroup(again.groupBy("block"))
-              .applyInArrow(send_stretches(buckets, buckets), "part int, block int, ids binary, sizes binary, texts binary, least binary, names binary"))
-    masks = materialise(pieces.groupBy("part").applyInArrow(settle(buckets), FACTS))
-    return docs, again.union(masks), buckets
+    # All of it is one job, and all three readers of ``docs`` ask for the same columns: the texts are shuffled once.
+    sent = docs.groupBy("block").applyInArrow(send_anchors(buckets), "bucket int, block int, anchors binary, more binary, counts binary")
+    again = sent.groupBy("bucket").applyInArrow(find_repeated, FACTS)
+    pieces = docs.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(send_stretches(buckets), SENT)
+    return docs, again.union(pieces.groupBy("part").applyInArrow(settle, FACTS)), buckets
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
