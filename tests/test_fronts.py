@@ -61,6 +61,15 @@ def test_uniform_digits_are_extreme(spark):
     assert r["n"] == 540 and r["p"] < 1e-6 and r["senal"] > 0.9
 
 
+@pytest.mark.parametrize(("n", "columns"), [(40, ["a", "b"]), (40, ["a"]), (3000, ["a", "b"])])
+def test_isolation_uses_the_norm_of_its_sample(spark, n, columns):
+    rng = np.random.default_rng(3)
+    x = pd.DataFrame(rng.normal(size=(n, len(columns))), columns=columns).assign(id=np.arange(n))
+    x.loc[0, columns] = 25.0
+    got = isolation_score(spark.createDataFrame(x), columns, ["id"], trees=50).toPandas().sort_values("id")
+    assert got.s_iso.iloc[0] > 0.95 and 0.5 < got.s_iso.iloc[1:].median() < 0.98 and got.s_iso.idxmax() == got.index[0]
+
+
 def test_isolation_finds_the_far_point(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(size=(400, 3)), [[9, 9, 9]]])

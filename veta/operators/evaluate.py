@@ -160,8 +160,9 @@ def conformal(calibration: DataFrame, test: DataFrame, y: str, p: str, alpha: fl
     n = calibration.count()
     prob = min(1.0, (1 - alpha) * (1 + 1 / n)) if n else 1.0
     q = quantiles(calibration.withColumn("_e", F.abs(F.col(y) - F.col(p))), "_e", {"q": prob}).first()["q"]
-    inside = F.when(F.abs(F.col(y) - F.col(p)) <= q, 1.0).otherwise(0.0)
-    return test.agg(F.lit(float(q)).alias("q"), (F.avg(inside) * 100).alias("cobertura_pct"), F.lit(2 * float(q)).alias("ancho"),
+    inside = F.when(F.lit(q).isNull(), None).when(F.abs(F.col(y) - F.col(p)) <= F.lit(q), 1.0).otherwise(0.0)
+    width = F.lit(None if q is None else float(q)).cast("double")
+    return test.agg(width.alias("q"), (F.avg(inside) * 100).alias("cobertura_pct"), (2 * width).alias("ancho"),
                     F.count(F.lit(1)).alias("n"))
 
 
@@ -180,7 +181,7 @@ def ensemble(predictions: DataFrame, metrics: DataFrame, groups: Sequence[str],
     """Mean prediction of the best models per group.  The ranking window holds one row per model."""
     w = Window.partitionBy(*groups).orderBy(metric, model)
     chosen = metrics.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= top).select(*groups, model)
-    return (predictions.join(F.broadcast(chosen), [*groups, model])
+    return (predictions.join(chosen, [*groups, model])
             .groupBy(*groups, *row).agg(F.avg("prediccion").alias("prediccion")).withColumn(model, F.lit(name)))
 
 

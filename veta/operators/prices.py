@@ -20,6 +20,9 @@ RATIOS = (("soya_aceite", "soya_grano", "aceite_grano"), ("soya_harina", "soya_g
           ("petroleo", "soya_grano", "petroleo_grano"), ("soya_aceite", "petroleo", "aceite_petroleo"))
 ENSO_PHASE = 0.5
 
+# Fixed value: share of nulls from which a feature is dropped.
+SPARSE = 0.25
+
 
 def _z(w, column: str, n: int) -> Column:
     return (F.col(column) - trailing(w, column, F.avg, n, n)) / trailing(w, column, F.stddev_samp, n, n)
@@ -71,6 +74,13 @@ def feature_names(features: DataFrame) -> list[str]:
     return [c for c in features.columns if "__" in c]
 
 
+def filled_features(features: DataFrame, most: float = SPARSE) -> list[str]:
+    """Features of which less than a share of ``most`` is null; sparser ones would cost their rows."""
+    names = feature_names(features)
+    row = features.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in names]).first()
+    return [c for c in names if row[c] < most * max(row["_n"], 1)]
+
+
 def future_change(panel: DataFrame, key: str, level: str, horizon: int, logs: bool = True, name: str | None = None,
                   month: str = "mes") -> DataFrame:
     """Change of the level over the next ``horizon`` months: log return or difference."""

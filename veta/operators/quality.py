@@ -38,15 +38,24 @@ def profile_table(df: DataFrame, table: str, key: str | None, today: str, exact:
         as_double = (c.cast("double") if number else
                      F.unix_micros(c.cast("timestamp")) / 1e6 if time else F.lit(None).cast("double"))
         clean = F.when(~F.isnan(as_double), as_double)
-        distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
+        text = f.dataType.simpleString() in ("string", "binary")
+        # Long texts are told apart by a hash; the key is counted on its own below.
+        distinct = F.approx_count_distinct(c) if not exact else F.lit(None).cast("long") if f.name == key else F.count_distinct(F.when(c.isNotNull(), F.xxhash64(c)) if text else c)
         late = F.coalesce(F.max(c) > F.lit(today).cast("timestamp"), F.lit(False)) if time else F.lit(False)
-        repeated = (F.count(F.lit(1)) - F.count_distinct(c)) if f.name == key else F.lit(None).cast("long")
         cells.append(F.struct(F.lit(table).alias("tabla"), F.lit(i).alias("pos"), F.lit(f.name).alias("columna"), F.lit(kind).alias("tipo"),
                               F.count(F.lit(1)).alias("filas"), F.count_if(c.isNull()).alias("nulos"), distinct.alias("distintos"),
                               F.min(clean).alias("minimo"), F.max(clean).alias("maximo"),
                               (F.coalesce(F.min(clean) < 0, F.lit(False)) if number else F.lit(False)).alias("negativo"),
-                              late.alias("futura"), repeated.alias("clave_repetida")))
-    return df.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("c")).select("c.*")
+                              late.alias("futura")))
+    found = df.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("c")).select("c.*")
+    if key is None:
+        return found.withColumn("clave_repetida", F.lit(None).cast("long"))
+    # The exact count of the key has a shuffle of its own: beside the sketches it would carry them along with every key.
+    groups = df.groupBy(F.col(f"`{key}`").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    once = groups.agg(F.count("k").alias("_d"), F.coalesce(F.sum("n"), F.lit(0)).alias("_n")).withColumn("columna", F.lit(key))
+    is_key = F.col("_d").isNotNull()
+    return (found.join(once, "columna", "left").withColumn("distintos", F.when(is_key, F.col("_d")).otherwise(F.col("distintos")))
+            .withColumn("clave_repetida", F.when(is_key, F.col("_n") - F.col("_d"))).select(*found.columns, "clave_repetida"))
 
 
 def profile_tables(frames: Mapping[str, DataFrame], today: str, keys: Mapping[str, str | None] | None = None,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veta.functions.columns import item, right_closed
 from veta.operators.prep import quantile_bins
+from veta.session import materialise
 
 
 def delivery_items(receipts: DataFrame, weight: str = "peso_neto") -> DataFrame:
@@ -33,8 +34,8 @@ def frequent_itemsets(trans: DataFrame, min_support: float = 0.05, max_len: int
     """
     if not 1 <= max_len <= 3:
         raise ValueError("max_len must be 1, 2 or 3")
-    counted = trans.groupBy(F.col(items).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    total = trans.count()
+    counted = materialise(trans.groupBy(F.col(items).alias("t")).agg(F.count(F.lit(1)).alias("n")))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = min_support * total - 1e-9
     single = counted.select(F.explode("t").alias("i"), "n").groupBy("i").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     # At most (items per row) / min_support items can be frequent, so the list is short.

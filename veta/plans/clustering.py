@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veta.functions.columns import decimal_hour, log_skew
 from veta.operators import clusters as op
-from veta.operators import linear, prep
+from veta.operators import linear, prep, splits
 from veta.operators import neighbours as nb
 from veta.operators.profiles import PROFILE_FEATURES, SEGMENT_360_FEATURES
 from veta.operators.sequence import quantiles
@@ -16,10 +16,10 @@ from veta.plans.profiles import FACT_SQL, PROFILE_SQL, rounded
 from veta.plans.registry import query
 from veta.session import materialise
 from veta.sources import roles
-from veta.sources.roles import ENSO, sql_with
+from veta.sources.roles import sql_with
 
-# Restarts of the ready-made queries; the operators default to 20.
-RESTARTS = 2
+# Restarts of the ready-made queries (the operators default to 20), and rows a sweep judges each k by.
+RESTARTS, SWEEP_POINTS = 5, 5_000
 
 
 def scaled(df, columns, ids, logs=True):
@@ -36,7 +36,7 @@ def producer_matrix(spark, sf):
 def sweep(df, columns, ids, ks, restarts=RESTARTS):
     """Quality of every k and the labels side by side."""
     labels = op.sweep_labels(df, columns, ks, restarts)
-    sil = op.silhouette(labels, columns, [f"k{k}" for k in ks], ids)
+    sil = op.silhouette_estimate(labels, columns, [f"k{k}" for k in ks], ids, SWEEP_POINTS)
     sep = op.separation(labels, columns, [f"k{k}" for k in ks])
     board = materialise(sil.select("etiqueta", "silueta", "puntos").join(sep, "etiqueta"))
     best = op.best_k({int(r["etiqueta"][1:]): r["silueta"] for r in board.select("etiqueta", "silueta").collect()})
@@ -46,7 +46,7 @@ def sweep(df, columns, ids, ks, restarts=RESTARTS):
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf):
     """Producer segments: quality for k = 2..7."""
-    _, board, _ = sweep(producer_matrix(spark, sf), PROFILE_FEATURES, ["id_productor"], range(2, 8), 1)
+    _, board, _ = sweep(producer_matrix(spark, sf), PROFILE_FEATURES, ["id_productor"], range(2, 8))
     return rounded(board, 5)
 
 
@@ -77,7 +77,7 @@ def sensor_regimes(spark, sf):
 
     d = roles.sensor_readings(spark, sf).withColumn("hora", decimal_hour("ts"))
     m = scaled(d, SENSOR_COLUMNS, ["id_lectura", "sensor_id"], logs=False)
-    labels, _, k = sweep(m, SENSOR_COLUMNS, ["id_lectura"], (3, 4, 5), 1)
+    labels, _, k = sweep(m, SENSOR_COLUMNS, ["id_lectura"], (3, 4, 5))
     return dominant_regime(labels.withColumn("regimen", F.col(f"k{k}")))
 
 
@@ -99,8 +99,8 @@ def delivery_types(spark, sf):
     """Types of delivery: profile of the clusters of the weigh-ins (gaps filled with medians)."""
     d = prep.median_fill(roles.receipts(spark, sf).filter(F.col("peso_neto").between(1, 200)).dropna(subset=DELIVERY[:3]), DELIVERY[3:])
     ids = ["id_recepcion", "id_parte", "id_silo", "fecha_hora"]
-    m = op.kmeans_labels(scaled(d, DELIVERY, ids), DELIVERY, 3, "tipo", 1)
-    return rounded(label_profile(m, "tipo", DELIVERY), 3)
+    labels, _, k = sweep(scaled(d, DELIVERY, ids), DELIVERY, ids, (3, 4, 5))
+    return rounded(label_profile(labels.withColumnRenamed(f"k{k}", "tipo"), "tipo", DELIVERY), 3)
 
 
 MARKET = ["soya_grano__ret_1m", "soya_aceite__ret_1m", "soya_harina__ret_1m", "petroleo__ret_1m", "maiz__ret_1m", "enso__anom"]
@@ -109,7 +109,7 @@ MARKET = ["soya_grano__ret_1m", "soya_aceite__ret_1m", "soya_harina__ret_1m", "p
 @query("market_regimes")
 def market_regimes(spark, sf):
     """Month, regime and crisis mark of every series."""
-    d = scaled(materialise(prices.features(spark, sf)), MARKET, ["serie", "mes"], logs=False)
+    d = scaled(prices.features(spark, sf), MARKET, ["serie", "mes"], logs=False)
     labels, _, k = sweep(d, MARKET, ["serie", "mes"], range(2, 7), RESTARTS)
     crisis = nb.density_clusters(d, MARKET, 1.6, 12).select("serie", "mes", F.when(F.col("grupo") == -1, 1).otherwise(0).alias("crisis"))
     return labels.select("serie", "mes", F.col(f"k{k}").alias("regimen")).join(crisis, ["serie", "mes"])
@@ -120,7 +120,7 @@ def market_regime_anova(spark, sf):
     """Which variables separate the market regimes (F and p)."""
     from veta.operators.stats import anova
 
-    d = scaled(materialise(prices.features(spark, sf)), MARKET, ["serie", "mes"], logs=False)
+    d = scaled(prices.features(spark, sf), MARKET, ["serie", "mes"], logs=False)
     return rounded(anova(op.kmeans_labels(d, MARKET, 2, "regimen", RESTARTS), "regimen", MARKET), 6)
 
 
@@ -179,10 +179,11 @@ def dbscan_core_noise(spark, sf):
 
 @query("dbscan_clusters")
 def dbscan_clusters(spark, sf):
-    """Density clusters of the producers, -1 for outliers, with the radius taken from the data."""
-    m = few(spark, sf)
-    eps = quantiles(nb.kth_distance(m, FEW, 10, "id_productor"), "distancia", {"q": 0.90}).first()["q"]
-    return nb.density_clusters(m, FEW, eps, 10).select("id_productor", "vecinos", "nucleo", "grupo")
+    """Density clusters of the producers over all features, -1 for outliers; radius from the distance to the 2p-th neighbour."""
+    m, p = producer_matrix(spark, sf), PROFILE_FEATURES
+    least = 2 * len(p)
+    eps = quantiles(nb.kth_distance(m, p, least, "id_productor"), "distancia", {"q": 0.90}).first()["q"]
+    return nb.density_clusters(m, p, eps, least).select("id_productor", "vecinos", "nucleo", "grupo")
 
 
 @query("cluster_stability")
@@ -238,18 +239,13 @@ def pca_projection(spark, sf):
 
 @query("pca_group_share")
 def pca_group_share(spark, sf):
-    """Squared loadings of the price features by group."""
+    """Squared loadings of the price features by group, learned on the months of the training block."""
     f = prices.features(spark, sf)
+    f = materialise(splits.purged(f, ["serie"], ["mes"], 3)).filter("split = 'train'")
     names = [c for c in prices.op.feature_names(f) if c.endswith(("ret_1m", "z_24m", "z24", "anom", "media6", "mes_sin", "mes_cos"))]
     return rounded(linear.group_shares(linear.loading_table(f, linear.components(linear.moments(f, names)), 5)), 5)
 
 
-@query("hierarchy_by_key")
-def hierarchy_by_key(spark, sf):
-    """Months of every series in a dendrogram, cut at 3 and 4."""
-    return rounded(op.hierarchy(prices.panel(spark, sf), "serie", "mes", [*prices.SERIES, ENSO]), 6)
-
-
 @query("hierarchy_groups")
 def hierarchy_groups(spark, sf):
     """Profile of the groups of months, and of a top-down hierarchy over all receipts' producers."""

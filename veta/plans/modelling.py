@@ -33,7 +33,7 @@ def parts(df, label="split"):
 def delay_frame(spark, sf):
     """Delay features with the chronological split, encoded on the training rows and written once."""
     d = materialise(splits.chronological(shipping.features(spark, sf), ["fecha_programada", "id_embarque"]))
-    enc = md.learn_encoder(d.filter("split = 'train'"), sh.NUMBERS, ["tipo_puerto", "rio_mar", "incoterm", "seg_cliente", "tipo_dom"])
+    enc = md.learn_encoder(d.filter("split = 'train'"), sh.NUMBERS, sh.CATEGORIES)
     keep = ["id_embarque", "fecha_programada", "puerto", "tipo_dom", "y_sev", F.col("retraso_d").cast("double").alias("retraso_d"), "split"]
     return materialise(enc.apply(d).select(*keep, *enc.features)), enc.features
 
@@ -83,9 +83,8 @@ def severity_leaderboard(spark, sf):
 def boosted_severity(spark, sf):
     """Boosted trees for the three severities, one model per class."""
     d, f = delay_frame(spark, sf)
-    numbers = [c for c in f if c[2:] in sh.NUMBERS]
     tr, va, _, _ = parts(d)
-    p = md.boosted_classes(3, 5)(tr, numbers, "y_sev")(va).withColumn("modelo", F.lit("GBT_clf"))
+    p = md.boosted_classes(3, ROUNDS)(tr, f, "y_sev")(va).withColumn("modelo", F.lit("GBT_clf"))
     return rounded(ev.multiclass_metrics(p.select("modelo", "y_sev", *P3), "y_sev", P3, ["modelo"]), 5)
 
 
@@ -158,7 +157,7 @@ def lda_scores(spark, sf):
 def knn_model(spark, sf):
     """Severity from the 25 nearest earlier shipments, weighted by distance."""
     d, f = delay_frame(spark, sf)
-    numbers = [c for c in f if c[2:] in ("cantidad_tn", "venta_tn", "rezago_contrato_d", "congestion_puerto_7d")]
+    numbers = [c for c in f if c[2:] in sh.NUMBERS]
     tr, va, _, _ = parts(d.select("id_embarque", "y_sev", "split", *numbers))
     p = md.knn_classes(3, "id_embarque", 25)(tr, numbers, "y_sev")(va)
     return rounded(ev.multiclass_metrics(p.withColumn("modelo", F.lit("KNN")), "y_sev", P3, ["modelo"]), 5)
@@ -230,9 +229,9 @@ DRIVERS = ["peso_neto", "humedad_pct", "impurezas_pct", "aceite_pct", "proteina_
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    """Drivers of the shrink: boosted trees on a 15 % sample, importance by shuffling."""
+    """Drivers of the shrink: boosted trees, importance by shuffling."""
     ids = ["id_recepcion", "id_parte", "id_silo", "peso_neto", "valor_usd"]
-    d = sample_percent(roles.receipts(spark, sf).filter(F.col("peso_neto").between(1, 200)), 15, ids)
+    d = roles.receipts(spark, sf).filter(F.col("peso_neto").between(1, 200))
     d = d.withColumns({"merma": F.col("peso_neto") * shrink_rate("humedad_pct", "impurezas_pct"), "mes_n": F.month("fecha_hora").cast("double"),
                        "hora_n": F.hour("fecha_hora").cast("double")})
     d = materialise(d.select("id_recepcion", "id_parte", "id_silo", "valor_usd", "merma", *DRIVERS).dropna())
@@ -248,7 +247,7 @@ def smoke_model(spark, sf):
     cut = F.col("peso_neto") * shrink_rate("humedad_pct", "impurezas_pct")
     d = d.withColumn("y", F.when(cut > 0.5, 1).otherwise(0))
     d = splits.stratified(d, "y", ids, {"train": 0.7, "validation": 0.15, "test": 0.15})
-    enc = md.learn_encoder(d, ["humedad_pct", "aceite_pct"])
+    enc = md.learn_encoder(d.filter("split = 'train'"), ["humedad_pct", "aceite_pct"])
     d = materialise(enc.apply(d).select("y", "split", *enc.features))
     p = md.logistic_model(2)(d.filter("split = 'train'"), enc.features, "y")(d.filter("split <> 'train'"))
     m = ev.roc_auc(p, "y", "p1").select(F.lit("auc").alias("metrica"), F.col("auc").alias("valor"))
@@ -259,9 +258,8 @@ def smoke_model(spark, sf):
 def price_frame(spark, sf, horizon=3):
     """Features, three-month change of the bean price and purged split, over all series."""
     p = pr.future_change(prices.panel(spark, sf), "serie", "soya_grano", horizon, True, "y").select("serie", "mes", "soya_grano", "y")
-    # Written once: a filter on a hundred window expressions would be copied into every step above it.
-    f = materialise(prices.features(spark, sf))
-    names = pr.feature_names(f)
+    f = prices.features(spark, sf)
+    names = pr.filled_features(f)
     whole = f.dropna(subset=names).join(p, ["serie", "mes"])
     whole = materialise(whole)
     rows = splits.purged(whole.filter("y is not null"), ["serie"], ["mes"], horizon)
@@ -384,7 +382,7 @@ def crush_forecast_error(spark, sf):
     """Crush margin three months ahead (difference target): ridge against no change."""
     p = prices.panel(spark, sf).withColumn("crush", crush_spread("soya_harina", "soya_aceite", "soya_grano"))
     p = pr.future_change(p, "serie", "crush", 3, False, "y").select("serie", "mes", "crush", "y")
-    f = materialise(prices.features(spark, sf))
+    f = prices.features(spark, sf)
     names = [c for c in pr.feature_names(f) if c.startswith(("crush__", "rat__", "est__"))]
     rows = materialise(splits.purged(f.dropna(subset=names).join(p.filter("y is not null"), ["serie", "mes"]), ["serie"], ["mes"], 3))
     enc = md.learn_encoder(rows.filter("split = 'train'"), names)

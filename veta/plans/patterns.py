@@ -51,7 +51,9 @@ def association_rules(spark, sf):
     return shown(op.association_rules(itemsets(spark, sf), 0.3))
 
 
-@query("top_rules")
+@query("top_rules", sql_with("recepcion", then=f""", {ITEM_SQL}, {RULE_SQL} SELECT antecedente, consecuente, round(soporte, 6) AS soporte,
+    round(confianza, 6) AS confianza, round(lift, 6) AS lift FROM regla WHERE confianza >= 0.5
+    ORDER BY regla.lift DESC, regla.soporte DESC, antecedente, consecuente LIMIT 15"""))
 def top_rules(spark, sf):
     """The 15 rules with the highest lift at the default confidence."""
-    return shown(op.top_rules(op.association_rules(itemsets(spark, sf), 0.3), 15))
+    return shown(op.top_rules(op.association_rules(itemsets(spark, sf)), 15))

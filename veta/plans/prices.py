@@ -9,6 +9,7 @@ from veta.operators import prices as op
 from veta.operators.panel import monthly_panel
 from veta.plans.profiles import rounded, sql_rounded
 from veta.plans.registry import query
+from veta.session import materialise
 from veta.sources import roles
 from veta.sources.roles import ENSO, PANEL_SERIES, sql_with
 
@@ -73,7 +74,8 @@ def features_sql() -> str:
 
 
 def features(spark, sf):
-    return op.price_features(panel(spark, sf), "serie", SERIES, ENSO)
+    """The price features, written once: a filter on a hundred window expressions would be copied into every step above it."""
+    return materialise(op.price_features(panel(spark, sf), "serie", SERIES, ENSO))
 
 
 @query("price_features", sql_with("precio_mensual", then=f", {PANEL_SQL}, {features_sql()}"))

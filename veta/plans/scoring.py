@@ -122,6 +122,8 @@ ROWS_SQL = PRED_SQL + ", filas AS (" + " UNION ALL ".join(
     medida AS (SELECT incoterm, modelo, count(*) AS n, avg(abs(retraso_d - prediccion)) AS mae, sqrt(avg(pow(retraso_d - prediccion, 2))) AS rmse,
       1 - sum(pow(retraso_d - prediccion, 2)) / (var_pop(retraso_d) * count(*)) AS r2, avg(abs(retraso_d - prediccion) / greatest(retraso_d, 1)) * 100 AS mape_pct,
       avg(prediccion - retraso_d) AS sesgo, avg(abs(retraso_d - prediccion)) FILTER (WHERE retraso_d >= 6) AS mae_grave FROM filas GROUP BY 1, 2)"""
+# The groups of the pivot.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 MEASURES = "mae rmse r2 mape_pct sesgo mae_grave"
 
 
@@ -134,10 +136,10 @@ def regression_metrics(spark, sf):
     return rounded(model_metrics(spark, sf), 5)
 
 
-@query("leaderboard_pivot", sql_with(*VIEWS, then=f""", {ROWS_SQL} SELECT modelo, {', '.join(f'round(avg(mae) FILTER (WHERE incoterm = {repr(v)}), 5) AS "{v}"' for v in ('1-URGENT', '5-LOW'))}
+@query("leaderboard_pivot", sql_with(*VIEWS, then=f""", {ROWS_SQL} SELECT modelo, {', '.join(f'round(avg(mae) FILTER (WHERE incoterm = {repr(v)}), 5) AS "{v}"' for v in PRIORITIES)}
     FROM medida GROUP BY 1"""))
 def leaderboard_pivot(spark, sf):
-    return rounded(pivot_metric(model_metrics(spark, sf), "modelo", ["incoterm"], "mae", ["1-URGENT", "5-LOW"]), 5)
+    return rounded(pivot_metric(model_metrics(spark, sf), "modelo", ["incoterm"], "mae", list(PRIORITIES)), 5)
 
 
 @query("champion", sql_with(*VIEWS, then=f""", {ROWS_SQL} SELECT incoterm, modelo, round(mae, 5) AS mae FROM (SELECT *, row_number() OVER
