@@ -261,8 +261,8 @@ class RunIndex:
         text[ends] = 0
         order = self.suffixes(text)
         # Where in the order each text's last string stands: from there its other strings are reached step by step.
-        place = np.empty(len(text), np.int64)
-        place[order] = np.arange(len(text))
+        place = np.empty(len(text), np.int32)
+        place[order] = np.arange(len(text), dtype=np.int32)
         self.toe = place[ends - LENGTH]
         before = text[order - 1]
         change = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
@@ -304,12 +304,15 @@ class RunIndex:
         n, packed = len(text), RunIndex.packed(text, 7)
         for step in (0, 7, 14, 28):
             if step:
-                after = np.concatenate((rank[step:], np.zeros(step, np.uint64)))
-                packed = rank << np.uint64(32) | after
-            order = np.argsort(packed)
-            ordered = packed[order]
-            rank = np.empty(n, np.uint64)
-            rank[order] = np.cumsum(np.concatenate(([1], ordered[1:] != ordered[:-1]))).astype(np.uint64)
+                packed = rank.astype(np.uint64) << np.uint64(32)
+                packed[:-step] |= rank[step:]
+            order = np.argsort(packed).astype(np.int32)
+            new = np.ones(n, bool)
+            for s in range(0, n - 1, 1 << 18):
+                ordered = packed[order[s: s + (1 << 18) + 1]]
+                new[s + 1: s + len(ordered)] = ordered[1:] != ordered[:-1]
+            rank = np.empty(n, np.uint32)
+            rank[order] = np.cumsum(new, dtype=np.uint32)
         return order
 
     def rank(self, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -349,15 +352,15 @@ class RunIndex:
 
 def settle(key: tuple, sent: pa.Table) -> pa.Table:
     cols = {c: sent.column(c).to_pylist() for c in ("block", "n", "length", "sizes", "texts", "holders", "holder", "names")}
-    texts: list[bytes] = []
-    for n, length, sizes, text in zip(cols["n"], cols["length"], cols["sizes"], cols["texts"], strict=True):
+    number: dict[bytes, int] = {}
+    own: list[np.ndarray] = []
+    for n, length, sizes, text in zip(cols["n"], cols["length"], cols.pop("sizes"), cols.pop("texts"), strict=True):
         text = pa.decompress(text, length, "zstd", asbytes=True)
         ends = np.cumsum(np.frombuffer(pa.decompress(sizes, n, "zstd", asbytes=True), "u1").astype(np.int64)).tolist()
-        texts += [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        own.append(np.array([number.setdefault(text[a:b], len(number)) for a, b in zip([0, *ends], ends, strict=False)], np.int64))
+    own = np.concatenate(own)
     least = np.concatenate([np.frombuffer(h, "<i8")[np.frombuffer(i, "<u4")] for h, i in zip(cols["holders"], cols["holder"], strict=True)])
     names = np.concatenate([unfive(x) for x in cols["names"]])
-    number: dict[bytes, int] = {}
-    own = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
     smallest, name = np.full(len(number), LAST), np.zeros(len(number), np.uint64)
     np.minimum.at(smallest, own, least)
     name[own] = names
@@ -445,7 +448,7 @@ def in_blocks(frame: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     total = frame.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     size = min(max(12 * math.isqrt(total), BLOCK[0]), BLOCK[1])
     blocks = max(1, -(-total // size))
-    buckets = blocks // 4 + 1
+    buckets = blocks // 2 + 1
     order = F.coalesce(F.col("key").cast("long"), F.lit(LAST))
     placed = frame.withColumn("order", order).withColumn("block", F.pmod(F.xxhash64("key", F.octet_length("text")), F.lit(blocks)).cast("int"))
     docs = placed.repartition(shuffle_partitions(spark), "block")
