@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from veta.functions.columns import (BENFORD, chi2_tail_even, clip, decimal_hour, first_digit, flag, is_sunday,
                                     month_text, name_of_largest, ratio, tidy)
 from veta.operators.sequence import attach, crowded, group_totals, medians, quantiles, running
+from veta.session import materialise
 
 # Weights of the score; they add up to 110 and are scaled back to 100.
 WEIGHTS = {"s_benford": 15, "s_iso": 25, "s_rend": 15, "s_contrato": 10, "s_lab": 5, "s_hora": 10, "s_fisica": 15,
@@ -22,6 +23,7 @@ WEIGHTS = {"s_benford": 15, "s_iso": 25, "s_rend": 15, "s_contrato": 10, "s_lab"
 YIELD_CEILING, MAD_SCALE, Z_TOP = 8.0, 1.4826, 6.0
 SEVERITIES = ("bajo", "medio", "alto", "critico")
 STRATUM = ("id_silo", "mes")
+SPREAD, SALTS = "_spread", 1 << 14
 
 
 def enrich(receipts: DataFrame, contracts: DataFrame, assignments: DataFrame, controls: DataFrame) -> DataFrame:
@@ -32,10 +34,17 @@ def enrich(receipts: DataFrame, contracts: DataFrame, assignments: DataFrame, co
     """
     per_lot = controls.groupBy("id_lote").agg(F.count(F.lit(1)).alias("_k"))
     lab = assignments.join(per_lot, "id_lote").groupBy("id_recepcion").agg(F.sum("_k").alias("n_lab"))
-    return (receipts.join(contracts, "id_contrato", "left").join(lab, "id_recepcion", "left")
+    with_contract = spread(receipts, "id_contrato", "id_recepcion").join(contracts.withColumn(SPREAD, F.col("id_contrato").cast("string")).drop("id_contrato"), SPREAD, "left")
+    return (with_contract.drop(SPREAD).join(lab, "id_recepcion", "left")
             .withColumn("n_lab", F.coalesce("n_lab", F.lit(0).cast("long"))))
 
 
+def spread(df: DataFrame, key: str, row: str) -> DataFrame:
+    """The key as text in ``SPREAD``, with missing keys dealt over many made-up ones, so that they do not meet in one task."""
+    salt = F.concat(F.lit("none "), F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("string"))
+    return df.withColumn(SPREAD, F.coalesce(F.col(key).cast("string"), salt))
+
+
 def basics(receipts: DataFrame) -> DataFrame:
     """Net weight, tare share, hour and calendar flags."""
     hour = decimal_hour("fecha_hora")
@@ -57,10 +66,31 @@ def duplicate_flag(df: DataFrame, key: str = "numero_remision", name: str = "dup
             .withColumn(name, flag(F.col("_copies") > 1)).drop("_copies"))
 
 
+def middle(values: Column) -> Column:
+    """Median of a sorted array; null of an empty one."""
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2.0
+
+
+def stratum_middles(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Median and median deviation of several columns per group in one shuffle, for groups that are not crowded."""
+    held = df.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.col(c).cast("double"))).alias(f"_l_{c}") for c in columns])
+    held = held.select(*keys, *[f"_l_{c}" for c in columns], *[middle(F.col(f"_l_{c}")).alias(f"_med_{c}") for c in columns])
+    away = {c: F.array_sort(F.transform(f"_l_{c}", lambda x: F.abs(x - F.col(f"_med_{c}")))) for c in columns}  # noqa: B023
+    return held.select(*keys, *[f"_med_{c}" for c in columns], *[middle(a).alias(f"_mad_{c}") for c, a in away.items()])
+
+
 def robust_z(df: DataFrame, keys: Sequence[str], columns: Sequence[str], prefix: str = "z_",
              crowd: bool | None = None) -> DataFrame:
     """|x - median| / (1.4826 * median deviation) within the group; 0 where undefined (also for null keys)."""
     crowd = crowded(df, keys) if crowd is None else crowd
+    if not crowd:
+        middles = stratum_middles(df, keys, columns)
+        known = F.lit(True)
+        for k in keys:
+            known = known & F.col(k).isNotNull()
+        z = {prefix + c: F.coalesce(F.when(known, F.abs(F.col(c) - F.col(f"_med_{c}")) / (MAD_SCALE * (F.col(f"_mad_{c}") + 1e-9))), F.lit(0.0)) for c in columns}
+        return attach(df, middles, keys).withColumns(z).drop(*[f"{m}{c}" for m in ("_med_", "_mad_") for c in columns])
     med = medians(df, columns, keys, "_med_", crowd=crowd)
     dev = attach(df, med, keys).withColumns({f"_dev_{c}": F.abs(F.col(c) - F.col(f"_med_{c}")) for c in columns})
     mad = medians(dev, [f"_dev_{c}" for c in columns], keys, "_mad", crowd=crowd)
@@ -108,17 +138,16 @@ def contract_signal(df: DataFrame, order: Sequence[str], sampled: bool = False,
                     crowd: bool | None = None) -> DataFrame:
     """Running delivery above the committed volume, plus a fixed part for receipts without contract.
 
-    Receipts without contract do not enter the running total: they would form one huge group.
+    Receipts without contract have no running total; in one pass with the others, they are spread over many tasks.
     """
     none = F.col("id_contrato").isNull()
     if sampled:
         return df.withColumn("s_contrato", flag(none) * 0.2)
-    held = running(df.filter(~none), ["id_contrato"], order, {"acumulado": F.col("peso_neto")}, crowd=crowd)
-    over = clip(ratio("acumulado", "volumen_comprometido_tn") - 1, 0, 1)
-    loose = df.filter(none).withColumn("acumulado", F.lit(None).cast("double"))
-    return (held.withColumn("s_contrato", F.coalesce(over, F.lit(0.0)))
-            .unionByName(loose.withColumn("s_contrato", F.when(F.col("peso_neto") > 50, 0.3)
-                                          .when(F.col("peso_neto") <= 50, 0.1).otherwise(0.0))))
+    held = running(spread(df, "id_contrato", order[-1]), [SPREAD], order, {"acumulado": F.col("peso_neto")}, crowd=crowd).drop(SPREAD)
+    held = held.withColumn("acumulado", F.when(~none, F.col("acumulado")))
+    over = F.coalesce(clip(ratio("acumulado", "volumen_comprometido_tn") - 1, 0, 1), F.lit(0.0))
+    loose = F.when(F.col("peso_neto") > 50, 0.3).when(F.col("peso_neto") <= 50, 0.1).otherwise(0.0)
+    return held.withColumn("s_contrato", F.when(none, loose).otherwise(over))
 
 
 def document_signals(df: DataFrame) -> DataFrame:
@@ -132,9 +161,9 @@ def document_signals(df: DataFrame) -> DataFrame:
 
 def signals(receipts: DataFrame, plots: DataFrame, order: Sequence[str]) -> DataFrame:
     """All signals except the isolation score.  ``receipts`` comes from ``enrich``."""
-    source = basics(receipts)
+    source = materialise(basics(receipts))
     hot_stratum = crowded(source, STRATUM)
-    hot_contract = crowded(receipts.filter("id_contrato is not null"), ["id_contrato"])
+    hot_contract = crowded(source.filter("id_contrato is not null"), ["id_contrato"])
     d = robust_z(duplicate_flag(source), STRATUM, ["humedad_pct", "impurezas_pct", "peso_neto"], crowd=hot_stratum)
     digits = benford(source, STRATUM).select(*STRATUM, F.col("senal").alias("s_benford"))
     d = attach(d, digits, STRATUM).withColumn("s_benford", F.coalesce("s_benford", F.lit(0.0)))
