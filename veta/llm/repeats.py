@@ -83,7 +83,9 @@ def stretches_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         own = np.repeat(np.arange(len(starts)), pieces)
         at = (np.arange(len(own)) - (np.cumsum(pieces) - pieces)[own]) * STRETCH
         starts, counts = starts[own] + at, np.minimum(counts[own] - at, STRETCH)
-    return starts, counts, low[starts]
+    # Smallest hashes are small: mixed once more, they spread evenly over buckets.
+    anchors = (low[starts] ^ low[starts] >> np.uint64(31)) * ODD[0]
+    return starts, counts, anchors ^ anchors >> np.uint64(29)
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
