@@ -42,6 +42,8 @@ LENGTH, PIECE = 50, 16
 #: Strings of a stretch, at most; a bit each in a mask.
 STRETCH = 64
 HOT = 4096
+#: Bytes of stretches under one index.
+INDEX = 1 << 18
 #: Bytes of text in a block grow with the square root of all text between these.
 BLOCK = (4 << 20, 128 << 20)
 PORTION = 1 << 18
@@ -273,8 +275,9 @@ class RunIndex:
         counts = np.bincount(before, minlength=258)
         self.smaller = np.concatenate(([0], np.cumsum(counts)))[:258]
         # Runs by character, so that one search finds the last run of a character before a place.
-        by = np.lexsort((change, self.heads))
-        self.keys, self.starts, self.spans = self.heads[by] * (len(text) + 1) + change[by], change[by], spans[by]
+        keys = self.heads * (len(text) + 1) + change
+        by = np.argsort(keys)
+        self.keys, self.starts, self.spans = keys[by], change[by], spans[by]
         total = np.cumsum(self.spans) - self.spans
         self.chars = self.heads[by]
         self.seen = total - self.smaller[self.chars]
@@ -282,9 +285,13 @@ class RunIndex:
         differ = np.zeros(len(text), bool)
         differ[0] = True
         words = self.packed(text, 7)
+        words = np.concatenate((words, np.zeros(LENGTH, np.uint64)))
+        same = np.arange(1, len(text))
         for k in (*range(0, LENGTH - 6, 7), LENGTH - 7):
-            c = words[np.minimum(order + k, len(text) - 1)]
-            differ[1:] |= c[1:] != c[:-1]
+            # Only neighbours that have agreed so far are looked at.
+            other = words[order[same] + k] != words[order[same - 1] + k]
+            differ[same[other]] = True
+            same = same[~other]
         self.cuts = np.concatenate((np.flatnonzero(differ), [len(text)]))
         of = np.repeat(least, sizes + 1)[order]
         self.least = np.minimum.reduceat(of, self.cuts[:-1])
@@ -335,10 +342,10 @@ class RunIndex:
         """
         last = np.array([len(t) for t in texts]) - LENGTH
         order = np.argsort(-last, kind="stable")
-        found = np.full((len(texts), STRETCH), -1, np.int64)
+        found = np.full((len(texts), STRETCH), -1, np.int32)
         now = self.interval(self.toe)
         found[np.arange(len(texts)), last] = now
-        wide = np.zeros((len(texts), STRETCH), np.int64)
+        wide = np.zeros((len(texts), STRETCH), np.uint8)
         flat = np.frombuffer(b"".join([t[:-LENGTH] for t in texts]), np.uint8)
         row = np.repeat(np.arange(len(texts)), last)
         wide[row, np.arange(len(flat)) - np.repeat(np.cumsum(last) - last, last)] = flat
@@ -346,7 +353,7 @@ class RunIndex:
         for step in range(1, int(last[0]) + 1 if len(last) else 1):
             live = int(np.searchsorted(-last, -step, "right"))
             at = last[:live] - step
-            chars = wide[np.arange(live), at] + 1
+            chars = wide[np.arange(live), at].astype(np.int64) + 1
             now = self.interval(self.smaller[chars] + self.rank(chars, self.cuts[now[:live]]))
             found[order[:live], at] = now
         return found
@@ -369,21 +376,25 @@ def settle(key: tuple, sent: pa.Table) -> pa.Table:
     masks = np.where(smallest[own] < least, ~np.uint64(0), np.uint64(0))
     order, at = groups(name)
     sizes = np.diff(np.concatenate((at, [len(order)])))
-    disputed = np.flatnonzero(np.repeat(sizes > 1, sizes))
-    if len(disputed):
-        these = order[disputed]
-        distinct = list(number)
+    chosen = np.flatnonzero(sizes > 1)
+    distinct = list(number)
+    bytes_of = np.add.reduceat(np.array([len(t) for t in distinct])[order], at) if len(at) else np.zeros(0, np.int64)
+    # Anchors are independent of each other: an index for each INDEX bytes of stretches stays in the processor's cache.
+    cut = (np.cumsum(bytes_of[chosen]) - bytes_of[chosen]) // INDEX
+    first = np.flatnonzero(np.diff(cut, prepend=-1))
+    where = np.full((len(number), STRETCH), LAST)
+    for some in np.split(chosen, first[1:]) if len(chosen) else []:
+        these = np.concatenate([order[at[g]: at[g] + sizes[g]] for g in some.tolist()])
         strings = [distinct[i] for i in these.tolist()]
         index = RunIndex(strings, smallest[these])
         found = index.matches(strings)
-        place = np.full(len(number), -1)
-        place[these] = np.arange(len(these))
-        rows = np.flatnonzero(place[own] >= 0)
-        for s in range(0, len(rows), 1 << 14):
-            part = rows[s: s + (1 << 14)]
-            where = found[place[own[part]]]
-            earlier = (where >= 0) & (index.least[where] < least[part, None])
-            masks[part] = np.packbits(earlier, axis=1, bitorder="little").view("<u8")[:, 0]
+        where[these] = np.where(found >= 0, index.least[found], LAST)
+    disputed = np.zeros(len(number), bool)
+    disputed[order[np.repeat(sizes > 1, sizes)]] = True
+    rows = np.flatnonzero(disputed[own])
+    for s in range(0, len(rows), 1 << 14):
+        part = rows[s: s + (1 << 14)]
+        masks[part] = np.packbits(where[own[part]] < least[part, None], axis=1, bitorder="little").view("<u8")[:, 0]
     out, at = [], 0
     for block, n in zip(cols["block"], cols["n"], strict=True):
         mine = masks[at: at + n]
@@ -410,12 +421,15 @@ def removed(docs: pa.Table, facts: pa.Table, buckets: int) -> tuple[np.ndarray,
                 masks[sent[part][np.frombuffer(places, "<u4")]] = np.frombuffer(bits, "<u8")
         # Whoever is not the smallest holder of a stretch in the block has all its strings earlier.
         mine = np.where(own.order[own.own] > own.least[own.ids], ~np.uint64(0), masks[own.ids])
-        bits = np.unpackbits(mine.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-        bits &= np.arange(STRETCH) < own.counts[:, None]
+        every = ~np.uint64(0) >> (STRETCH - own.counts).astype(np.uint64)
+        mine &= every
+        whole, part = np.flatnonzero(mine == every), np.flatnonzero((mine != every) & (mine != 0))
+        bits = np.unpackbits(mine[part].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         row, at = np.nonzero(bits)
-        where = own.starts[row] + at
-        np.add.at(cover, where, 1)
-        np.add.at(cover, where + LENGTH, -1)
+        first = np.concatenate((own.starts[whole], own.starts[part[row]] + at))
+        last = np.concatenate((own.starts[whole] + own.counts[whole], own.starts[part[row]] + at + 1))
+        cover += np.bincount(first, minlength=len(cover)).astype(np.int32)
+        cover -= np.bincount(last + LENGTH - 1, minlength=len(cover)).astype(np.int32)
     return data, offsets, np.cumsum(cover[:-1]) > 0
 
 
