@@ -19,7 +19,7 @@ from veta.sources import roles
 from veta.sources.roles import sql_with
 
 # Restarts of the ready-made queries (the operators default to 20), and rows a sweep judges each k by.
-RESTARTS, SWEEP_POINTS = 5, 5_000
+RESTARTS, SWEEP_POINTS = 2, 5_000
 
 
 def scaled(df, columns, ids, logs=True):
