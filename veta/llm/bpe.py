@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from veta.llm.common import narrow, process_memo, query, table
 
-#: Encoded pieces (and, twice as many, pairs) a worker process remembers before it starts over: some 100 MB.
-MEMO = 1 << 18
+#: Encoded pieces (and, four times as many, pairs) a worker process remembers before it starts over: some 200 MB.
+MEMO = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,7 +54,7 @@ class Pairs(dict):
     def __missing__(self, key: int) -> bool:
         first, second = (key >> 32) - 1, key & 0xFFFFFFFF
         want = [second] if first < 0 else [first, second]
-        if len(self) >= 2 * MEMO:
+        if len(self) >= 4 * MEMO:
             self.clear()
         value = self[key] = merge(self.ranks, b"".join(self.tokens[t] for t in want)) == want
         return value
