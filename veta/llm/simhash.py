@@ -167,7 +167,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = BITS, key: str =
 
 def representatives(docs: DataFrame, size: int = 3, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component with all its columns: that of the smallest key, of equal keys that of the smallest text hash."""
-    marks, found = grouped(docs, size, bits, key, text)
+    return first_rows(docs, *grouped(docs, size, bits, key, text), key, text)
+
+
+def first_rows(docs: DataFrame, marks: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The row of the smallest key, then text hash, of each root, from (key, h, fingerprint) and (fingerprint, root)."""
     rows = marks.join(found, "fingerprint").groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "h")).alias("m"))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     chosen = materialise(rows.select(name("m.key").alias("k"), F.col("m.h").alias("h")).distinct())
