@@ -1,15 +1,16 @@
 """License scans: phrases that name a license, and an exact containment join with license templates.
 
 Words are runs of ASCII letters and digits (A-Z in lower case) and of anything beyond ASCII.  A *phrase* is found where its
-words stand consecutively.  A *template* is a set of words; a text block (a line) meets it when the block holds at least
-``threshold`` of the template's words.  The join is exact and filtered:
+words stand consecutively.  A *template* is a set of words; a text meets it when a window of it, a run of words over line
+ends and all, holds at least ``threshold`` of the template's words.  So that each window lies whole in some text block,
+blocks are runs of ``STEP`` words and those of one window more.  The join is exact and filtered:
 
 * words are put in order by how often they occur in all texts, rare ones first;
 * prefix: of a template of n words that needs a common words, some of the n - a + 1 rarest must be in the block;
 * length: the block must hold at least a words that any template has;
 * position: after the first common word enough words must be left in both, in that order, to reach a.
 
-What is left is verified by intersecting the word sets.  Everything is DataFrame functions; the table of templates and its
+What is left is verified by intersecting the word sets of the block, then of its windows.  Everything is DataFrame functions; the table of templates and its
 word counts are fixed in size, so they may be broadcast and read by the driver.
 
 Nulls are empty texts: no words, no labels, score 0.  Repeated rows give repeated results; rows are told apart by key and
@@ -51,6 +52,8 @@ TEMPLATES = (
 )
 
 THRESHOLD = 0.8
+#: Words of a window: ``SLACK`` times those of the template, and ``LEAST_WINDOW`` for short ones; words by which blocks follow each other.
+SLACK, LEAST_WINDOW, STEP = 2, 24, 200
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,9 +90,14 @@ def phrases(docs: DataFrame, wanted: dict[str, str] = PHRASES, key: str = "doc_i
                         first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), labels.alias("base"))
 
 
-def template_words(text: str) -> list[str]:
+def spelt(text: str) -> str:
+    """As ``spaced``, of a string."""
     kept = "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in text)
-    return sorted({"".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in kept.split()})
+    return " ".join("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in kept.split())
+
+
+def template_words(text: str) -> list[str]:
+    return sorted(set(spelt(text).split()))
 
 
 def frequencies(docs: DataFrame, words: list[str], text: str = "text") -> dict[str, int]:
@@ -104,32 +112,37 @@ def local(docs: DataFrame, rows: list[Column]) -> DataFrame:
 
 
 def containment(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, h, block, label, score): every line that meets a template, with the share of its words it holds."""
-    sets = [(label, template_words(t)) for label, t in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
+    """(key, h, block, label, score): every block with a window that meets a template, with the largest share of its words in one window."""
+    sets = [(label, template_words(t), max(LEAST_WINDOW, SLACK * len(spelt(t).split()))) for label, t in templates]
+    vocabulary = sorted({w for _, ws, _ in sets for w in ws})
     often = frequencies(docs, vocabulary, text)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (often[w], w)))}
-    needs, index, starts = [], [], set()
-    for no, (label, words) in enumerate(sets):
+    index, starts = [], set()
+    for no, (label, words, window) in enumerate(sets):
         words, need = sorted(words, key=rank.get), math.ceil(threshold * len(words) - 1e-9)
-        needs.append(F.struct(F.lit(no).alias("no"), F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.lit(need).alias("need")))
         for at, word in enumerate(words[: len(words) - need + 1]):
             starts.add(word)
-            index.append(F.struct(F.lit(word).alias("word"), F.lit(no).alias("no"), F.lit(len(words) - at).alias("rest"), F.lit(need).alias("need")))
+            index.append(F.struct(F.lit(word).alias("word"), F.lit(no).alias("no"), F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"),
+                                  F.lit(window).alias("window"), F.lit(len(words) - at).alias("rest"), F.lit(need).alias("need")))
     ranks = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, rank[w])])
     frame = narrow(docs, key=key, text=text)
-    lines = frame.select("key", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    held = F.array_distinct(F.split(spaced(F.col("line")), " "))
-    near = lines.select("key", "h", "block", held.alias("held")).where(F.arrays_overlap("held", F.array(*map(F.lit, sorted(starts)))))
+    size = STEP + max((window for *_, window in sets), default=0)
+    pieces = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / STEP).cast("int")), lambda i: F.slice(w, i * STEP + 1, size))
+    # As a lambda's argument the text is split once, not for each piece.
+    runs = frame.select("key", F.xxhash64("text").alias("h"), F.posexplode(F.transform(F.array(F.split(spaced(F.col("text")), " ")), pieces)[0]).alias("block", "run"))
+    near = runs.where(F.arrays_overlap("run", F.array(*map(F.lit, sorted(starts)))))
     # In the order of the words' frequencies; words of no template cannot add to an overlap.
-    common = F.transform(F.array_sort(F.transform(F.array_intersect("held", F.array(*map(F.lit, vocabulary))), lambda w: F.struct(ranks[w].alias("r"), w.alias("w")))), lambda x: x["w"])
-    blocks = near.select("key", "h", "block", common.alias("held"))
+    common = F.transform(F.array_sort(F.transform(F.array_intersect("run", F.array(*map(F.lit, vocabulary))), lambda w: F.struct(ranks[w].alias("r"), w.alias("w")))), lambda x: x["w"])
+    blocks = near.select("key", "h", "block", "run", common.alias("held"))
+    overlap = F.array_intersect("held", "words")
+    # Of the words that a block and a template share the first one stands for the pair.
     met = (blocks.select("*", F.posexplode("held").alias("at", "word")).join(F.broadcast(local(docs, index)), "word")
            .where((F.size("held") >= F.col("need")) & (F.least(F.col("rest"), F.size("held") - F.col("at")) >= F.col("need")))
-           .select("key", "h", "block", "held", "no").distinct())
-    overlap = F.size(F.array_intersect("held", "words"))
-    return (met.join(F.broadcast(local(docs, needs)), "no").where(overlap >= F.col("need"))
-            .select("key", "h", "block", "label", (overlap / F.size("words")).alias("score")))
+           .where((overlap[0] == F.col("word")) & (F.size(overlap) >= F.col("need"))))
+    heads = F.filter(F.sequence(F.lit(1), F.size("run")), lambda i: F.array_contains("words", F.element_at("run", i)))
+    most = F.array_max(F.transform(heads, lambda i: F.size(F.array_intersect(F.slice("run", i, F.col("window")), F.col("words")))))
+    return (met.select("key", "h", "block", "label", "need", "words", most.alias("most")).where(F.col("most") >= F.col("need"))
+            .select("key", "h", "block", "label", (F.col("most") / F.size("words")).alias("score")))
 
 
 def scan(docs: DataFrame, wanted: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
