@@ -2,7 +2,7 @@
 
 Words are runs of ASCII letters and digits (A-Z in lower case) and of anything beyond ASCII.  A *phrase* is found where its
 words stand consecutively.  A *template* is a set of words; a text meets it when a window of it, a run of words over line
-ends and all, holds at least ``threshold`` of the template's words.  So that each window lies whole in some text block,
+ends and all, holds at least ``threshold`` of the template's words, and among them all words and phrases of ``MARKS`` that the template has.  So that each window lies whole in some text block,
 blocks are runs of ``STEP`` words and those of one window more.  The join is exact and filtered:
 
 * words are put in order by how often they occur in all texts, rare ones first;
@@ -51,6 +51,10 @@ TEMPLATES = (
     ("rights-notice", "Copyright all rights reserved"),
 )
 
+# Words and phrases that tell a license from others and from prose; a window must hold those of its template.
+MARKS = ("mit", "apache", "gnu general public license", "cc by nc", "creative commons", "license", "associated documentation", "substantial portions", "provided", "warranty",
+         "kind", "implied", "warranties", "conditions", "program", "hope", "redistribution", "binary", "copyright", "reserved")
+
 THRESHOLD = 0.8
 #: Words of a window: ``SLACK`` times those of the template, and ``LEAST_WINDOW`` for short ones; words by which blocks follow each other.
 SLACK, LEAST_WINDOW, STEP = 2, 24, 200
@@ -100,6 +104,10 @@ def template_words(text: str) -> list[str]:
     return sorted(set(spelt(text).split()))
 
 
+def marks_of(text: str) -> list[str]:
+    return [m for m in MARKS if f" {m} " in f" {spelt(text)} "]
+
+
 def frequencies(docs: DataFrame, words: list[str], text: str = "text") -> dict[str, int]:
     """How often each of these words occurs in all texts."""
     each = docs.select(F.explode(F.split(spaced(F.col(f"`{text}`")), " ")).alias("word"))
@@ -113,20 +121,20 @@ def local(docs: DataFrame, rows: list[Column]) -> DataFrame:
 
 def containment(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, h, block, label, score): every block with a window that meets a template, with the largest share of its words in one window."""
-    sets = [(label, template_words(t), max(LEAST_WINDOW, SLACK * len(spelt(t).split()))) for label, t in templates]
-    vocabulary = sorted({w for _, ws, _ in sets for w in ws})
+    sets = [(label, template_words(t), max(LEAST_WINDOW, SLACK * len(spelt(t).split())), marks_of(t)) for label, t in templates]
+    vocabulary = sorted({w for _, ws, *_ in sets for w in ws})
     often = frequencies(docs, vocabulary, text)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (often[w], w)))}
     index, starts = [], set()
-    for no, (label, words, window) in enumerate(sets):
+    for no, (label, words, window, marks) in enumerate(sets):
         words, need = sorted(words, key=rank.get), math.ceil(threshold * len(words) - 1e-9)
         for at, word in enumerate(words[: len(words) - need + 1]):
             starts.add(word)
             index.append(F.struct(F.lit(word).alias("word"), F.lit(no).alias("no"), F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"),
-                                  F.lit(window).alias("window"), F.lit(len(words) - at).alias("rest"), F.lit(need).alias("need")))
+                                  F.lit(window).alias("window"), F.array(*map(F.lit, marks)).cast("array<string>").alias("marks"), F.lit(len(words) - at).alias("rest"), F.lit(need).alias("need")))
     ranks = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, rank[w])])
     frame = narrow(docs, key=key, text=text)
-    size = STEP + max((window for *_, window in sets), default=0)
+    size = STEP + max((window for _, _, window, _ in sets), default=0)
     pieces = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / STEP).cast("int")), lambda i: F.slice(w, i * STEP + 1, size))
     # As a lambda's argument the text is split once, not for each piece.
     runs = frame.select("key", F.xxhash64("text").alias("h"), F.posexplode(F.transform(F.array(F.split(spaced(F.col("text")), " ")), pieces)[0]).alias("block", "run"))
@@ -140,8 +148,10 @@ def containment(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHO
            .where((F.size("held") >= F.col("need")) & (F.least(F.col("rest"), F.size("held") - F.col("at")) >= F.col("need")))
            .where((overlap[0] == F.col("word")) & (F.size(overlap) >= F.col("need"))))
     heads = F.filter(F.sequence(F.lit(1), F.size("run")), lambda i: F.array_contains("words", F.element_at("run", i)))
-    most = F.array_max(F.transform(heads, lambda i: F.size(F.array_intersect(F.slice("run", i, F.col("window")), F.col("words")))))
-    return (met.select("key", "h", "block", "label", "need", "words", most.alias("most")).where(F.col("most") >= F.col("need"))
+    marked = lambda run: F.forall("marks", lambda m: F.contains(F.concat(F.lit(" "), F.array_join(run, " "), F.lit(" ")), F.concat(F.lit(" "), m, F.lit(" "))))
+    window = lambda i: F.slice("run", i, F.col("window"))
+    most = F.array_max(F.transform(heads, lambda i: F.when(marked(window(i)), F.size(F.array_intersect(window(i), F.col("words")))).otherwise(0)))
+    return (met.where(marked(F.col("run"))).select("key", "h", "block", "label", "need", "words", most.alias("most")).where(F.col("most") >= F.col("need"))
             .select("key", "h", "block", "label", (F.col("most") / F.size("words")).alias("score")))
 
 
