@@ -27,6 +27,8 @@ BLOCK = set("""address article aside blockquote body caption center dd details d
     frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 CONTAINER = BLOCK - {"p", "hr", "body", "html", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SILENT = set("script style noscript template textarea select button svg canvas iframe object video audio title datalist".split())
+#: Of these everything up to the end tag, or to the page's end without one, is text; the others hold elements.
+RAW = set("script style noscript iframe title textarea".split())
 APART = {"nav", "footer", "aside", "form", "menu", "dialog"}
 APART_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 APART_NAMES = set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar sidebar footer
@@ -36,9 +38,9 @@ APART_NAMES = set("""ad ads advert adverts advertisement advertising sponsor spo
 ARTICLE_NAMES = set("article articlebody content main post entry story maincontent postbody".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$|")""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-NEVER = {n: re.compile(rf"</{n}\s*>", re.I) for n in SILENT}
+NEVER = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
 
 
 def standing(tag: str, attributes: str) -> int:
@@ -62,6 +64,34 @@ def standing(tag: str, attributes: str) -> int:
     return -1 if tag in ("article", "main") else 2 if tag == "header" and not found else found
 
 
+def closings(page: str) -> dict[int, int]:
+    """Where each silent element that holds elements ends, by the end of its start tag: after its end tag or before one that
+    ends an element around it; those that nothing ends are left out."""
+    found, at = {}, 0
+    around: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    for m in TAG.finditer(page):
+        name = m[2] or m[5]
+        if m.start() < at or not name:
+            continue
+        name, last = name.lower(), (m[3] or m[6] or "").endswith("/")
+        if (m[1] or m[4]) == "/":
+            while count.get(name):
+                inner, place = around.pop()
+                count[inner] -= 1
+                if inner in SILENT:
+                    found[place] = m.end() if inner == name else m.start()
+                if inner == name:
+                    break
+        elif not last and name in RAW:
+            over = NEVER[name].search(page, m.end())
+            at = over.end() if over else len(page)
+        elif not last:
+            around.append((name, m.end()))
+            count[name] = count.get(name, 0) + 1
+    return found
+
+
 class Blocks:
     """The flat blocks of one page: texts, and for each (words, words in links, apart, named apart, in article, heading, marked)."""
 
@@ -73,7 +103,7 @@ class Blocks:
         self.link_parts: list[str] = []
         self.links = self.marked = 0
         self.heading = False
-        at, end, head = 0, len(page), False
+        at, end, head, over = 0, len(page), False, None
         for_tag = TAG.finditer(page)
         for m in for_tag:
             start, stop = m.span()
@@ -88,8 +118,12 @@ class Blocks:
             name, closing = name.lower(), (m[1] or m[4]) == "/"
             if name in SILENT:
                 if not closing and not (m[3] or m[6] or "").endswith("/"):
-                    over = NEVER[name].search(page, stop)
-                    at = over.end() if over else end
+                    if name in RAW:
+                        last = NEVER[name].search(page, stop)
+                        at = last.end() if last else end
+                    else:
+                        over = closings(page) if over is None else over
+                        at = over.get(stop, stop)
                 continue
             if name == "head":
                 head = not closing
