@@ -256,11 +256,11 @@ def smoke_model(spark, sf):
 
 # ------------------------------------------------------------------ prices
 def price_frame(spark, sf, horizon=3):
-    """Features, three-month change of the bean price and purged split, over all series."""
+    """Features, three-month change of the bean price and purged split, over all series; gaps get the medians of the training rows."""
     p = pr.future_change(prices.panel(spark, sf), "serie", "soya_grano", horizon, True, "y").select("serie", "mes", "soya_grano", "y")
     f = prices.features(spark, sf)
     names = pr.filled_features(f)
-    whole = f.dropna(subset=names).join(p, ["serie", "mes"])
+    whole = f.join(p, ["serie", "mes"])
     whole = materialise(whole)
     rows = splits.purged(whole.filter("y is not null"), ["serie"], ["mes"], horizon)
     rows = rows.unionByName(whole.filter("y is null").withColumn("split", F.lit("futuro")))
@@ -336,13 +336,13 @@ def ablation(spark, sf):
 
 @query("forecast")
 def forecast(spark, sf):
-    """Forecast three months ahead from the last complete month of every series, with an 80 % interval and a signal."""
+    """Forecast three months ahead from the last month with a price of every series, with an 80 % interval and a signal."""
     d, f = price_frame(spark, sf)
     tr, va, _, _ = parts(d)
     m = md.ridge_model(ORDER)
     fitted = m(tr, f, "y")
     q = ev.conformal(fitted(va), fitted(va), "y", "prediccion").first()["q"]
-    known, last = d.filter("y is not null"), d.groupBy("serie").agg(F.max("mes").alias("mes"))
+    known, last = d.filter("y is not null"), d.filter("soya_grano is not null").groupBy("serie").agg(F.max("mes").alias("mes"))
     p = m(known, f, "y")(d.join(last, ["serie", "mes"])).withColumn("q", F.lit(q))
     c = F.col("prediccion")
     return rounded(p.select("serie", F.col("mes").alias("fecha_origen"), F.add_months("mes", 3).alias("fecha_objetivo"), F.col("soya_grano").alias("nivel_actual"),
