@@ -56,7 +56,8 @@ def test_appending_and_replacing_equal_encoding_anew(vocabulary):
 
 def test_memo_starts_over_when_full(vocabulary, monkeypatch):
     ranks, pattern, known = vocabulary
-    monkeypatch.setattr(bpe, "MEMO", 3)
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 600)
+    monkeypatch.setattr(bpe, "PAIR_BYTES", 600)
     own = bpe.Codec(ranks, pattern)
     for t in texts(30, 5):
         assert own.decode(own.encode(t)) == t.encode() and len(own.pieces) <= 3
@@ -134,3 +135,17 @@ def test_empty_archive_and_damage(spark):
     spark.read.parquet(f"{other}/headers").write.parquet(f"{path}/bad/headers")
     with pytest.raises(Exception, match="damaged payload"):
         warc.read(spark, f"{path}/bad").collect()
+
+
+def test_memo_of_pieces_is_bounded_by_bytes():
+    import sys
+
+    ranks = {bytes([i]): i for i in range(256)}
+    own = bpe.Pieces(ranks)
+    long = "ab" * 500_000
+    assert len(own[long]) == 4 * len(long) and long not in own and not own.old
+    for i in range(400_000):
+        own[f"piece {i}"]
+    used = sum(sys.getsizeof(k) + sys.getsizeof(v) for d in (own, own.old) for k, v in d.items()) + sys.getsizeof(own) + sys.getsizeof(own.old)
+    assert used < 1.5 * bpe.PIECE_BYTES and len(own) + len(own.old) > 20_000
+    assert own["piece 7"] == np.array(list(b"piece 7"), "<u4").tobytes()

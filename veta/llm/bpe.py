@@ -19,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veta.llm.common import narrow, process_memo, query, table
+from veta.llm.common import narrow, process_memo, query, table, trimmed
 
-#: Encoded pieces (and, four times as many, pairs) a worker process remembers before it starts over: some 200 MB.
-MEMO = 1 << 20
+#: Bytes that a worker process remembers pieces in, and pairs of tokens; longer pieces are worked out each time.
+PIECE_BYTES, PAIR_BYTES, LONGEST = 24 << 20, 16 << 20, 64
+#: Bytes of an entry of a memo besides its key's and value's own.
+ENTRY = 100
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,20 +46,45 @@ def merge(ranks: dict[bytes, int], data: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-class Pairs(dict):
+class Memo(dict):
+    """Values of ``work``, remembered in about ``budget`` bytes: what was not asked for lately is forgotten by halves."""
+
+    def __init__(self, budget: int):
+        super().__init__()
+        self.budget, self.held, self.old = budget, 0, {}
+
+    def work(self, key: object) -> object:
+        raise NotImplementedError
+
+    def cost(self, key: object, value: object) -> int:
+        """Bytes of an entry; 0 for one that is not to be remembered."""
+        return ENTRY
+
+    def __missing__(self, key: object) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.work(key)
+        cost = self.cost(key, value)
+        if cost:
+            if 2 * (self.held + cost) > self.budget:
+                self.old, self.held = self.copy(), 0
+                self.clear()
+            self.held += cost
+            self[key] = value
+        return value
+
+
+class Pairs(Memo):
     """Whether two tokens may stand next to each other; a first token of -1 asks for the second alone."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
+        super().__init__(PAIR_BYTES)
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
 
-    def __missing__(self, key: int) -> bool:
+    def work(self, key: int) -> bool:
         first, second = (key >> 32) - 1, key & 0xFFFFFFFF
         want = [second] if first < 0 else [first, second]
-        if len(self) >= 4 * MEMO:
-            self.clear()
-        value = self[key] = merge(self.ranks, b"".join(self.tokens[t] for t in want)) == want
-        return value
+        return merge(self.ranks, b"".join(self.tokens[t] for t in want)) == want
 
 
 class Prefixes:
@@ -115,21 +142,21 @@ class Prefixes:
         return out[::-1]
 
 
-class Pieces(dict):
-    """Piece of text to its packed ids, remembered up to ``MEMO`` pieces."""
+class Pieces(Memo):
+    """Piece of text to its packed ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
+        super().__init__(PIECE_BYTES)
         self.ranks, self.pairs, self.longest = ranks, Pairs(ranks), max(map(len, ranks))
 
-    def __missing__(self, piece: str) -> bytes:
+    def work(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.ranks.get(data)
         ids = [whole] if whole is not None else Prefixes(self.ranks, self.pairs, self.longest).append(data).ids()
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[piece] = np.array(ids, "<u4").tobytes()
-        return value
+        return np.array(ids, "<u4").tobytes()
+
+    def cost(self, piece: str, ids: bytes) -> int:
+        return ENTRY + 80 + len(piece) + len(ids) if len(piece) <= LONGEST else 0
 
 
 class Codec:
@@ -193,7 +220,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
-        for batch in batches:
+        for batch in trimmed(batches):
             n, ids, back = [], [], []
             for x in texts(batch.column(1)):
                 packed = own.encode(x)

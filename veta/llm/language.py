@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veta.llm.common import at, byte_view, named, narrow, numbered, portions, query, table
+from veta.llm.common import at, byte_view, named, narrow, numbered, portions, query, table, trimmed
 
 BUCKETS, DIM = 1 << 14, 16
 PER_LANG, TRAIN_CHARS = 400, 4_000
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     frame = narrow(docs, key=key, text=text).withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             names, scores, refused = np.full(len(letter), UNKNOWN, object), np.zeros(len(letter)), np.ones(len(letter), bool)
             if model is not None and len(letter):
@@ -212,7 +212,7 @@ def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     where, width = docs.columns.index(text), len(docs.columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             keep = batch.column(width).to_numpy(zero_copy_only=False).astype(bool)
             if model is not None and len(keep):
                 data, offsets = byte_view(batch.column(where))
