@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veta.llm.common import narrow, query, table
+from veta.session import materialise
 
 #: White space between words.
 GAP = r"[\x20\x09-\x0D]+"
@@ -146,7 +147,8 @@ def audit(docs: DataFrame, labels: DataFrame, conditions: Mapping[str, Column] |
     """
     given = dict(conditions if conditions is not None else rules("text"))
     names = [*given, *([copies] if copies else [])]
-    found = edges(tallies(failures(docs, given, copies, part, key, text), labels, key), len(names))
+    # Written once, a row a part and set of filters: the edges are read for the steps and for the sums.
+    found = edges(materialise(tallies(failures(docs, given, copies, part, key, text), labels, key)), len(names))
     return steps(found, names).join(shapley(found), ["part", "filter"]).select("part", "filter_order", "step", *COUNTS, "shapley")
 
 
