@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veta.functions.columns import hash_order
-from veta.operators import linear
+from veta.operators import boosting, linear
 from veta.operators.neighbours import knn_predict
 from veta.operators.prep import apply_scale, fill_category, learned_medians, learned_scale, levels_of
 from veta.operators.sequence import positions
@@ -113,7 +113,8 @@ def reduced(fitter: Fitter, share: float = 0.90) -> Fitter:
         names = [f"_pc{i + 1}" for i in range(k)]
         # Written once: the fitter reads the projected rows several times.
         inner = fitter(materialise(c.project(train, k, "_pc").drop(*features)), names, target)
-        return lambda df: inner(c.project(df, k, "_pc")).drop(*names)
+        # Written on this side as well: the neighbour search would repeat the projection in each of its conditions.
+        return lambda df: inner(materialise(c.project(df, k, "_pc").drop(*features))).drop(*names)
     return run
 
 
@@ -161,6 +162,17 @@ def boosted_number(rounds: int = 200, rate: float = 0.05, depth: int = 3, leaf:
                                              minInstancesPerNode=leaf, subsamplingRate=share, seed=seed))
 
 
+def hist_boosted_number(rounds: int = 200, rate: float = 0.04, depth: int = 3, leaf: int = 15, penalty: float = 1.0, patience: int | None = None,
+                        ids: Sequence[str] = ()) -> Fitter:
+    """Boosted histogram trees; ``patience`` stops early on a tenth of the rows, drawn by ``ids``."""
+    def run(train: DataFrame, features: list[str], target: str) -> Predict:
+        model = boosting.fit(train, features, target, boosting.Squares(), None, rounds, rate, depth, leaf, penalty, patience, ids=ids)
+        predict = boosting.predict(model, features, ["prediccion"])
+        predict.model = model
+        return predict
+    return run
+
+
 def knn_number(point: str, k: int = 20) -> Fitter:
     def run(train: DataFrame, features: list[str], target: str) -> Predict:
         return lambda df: df.join(knn_predict(train, df, features, target, k, point), point)
@@ -244,6 +256,18 @@ def boosted_classes(classes: int, rounds: int = 150, rate: float = 0.05, depth:
     return run
 
 
+def hist_boosted_classes(classes: int, rounds: int = 150, rate: float = 0.04, depth: int = 3, leaf: int = 15, penalty: float = 1.0, weigh: bool = True,
+                         patience: int | None = None, ids: Sequence[str] = ()) -> Fitter:
+    """Boosted histogram trees under one softmax loss over all classes."""
+    def run(train: DataFrame, features: list[str], target: str) -> Predict:
+        d = balanced(train, target) if weigh else train.withColumn("_w", F.lit(1.0))
+        model = boosting.fit(d, features, target, boosting.Softmax(classes), "_w", rounds, rate, depth, leaf, penalty, patience, ids=ids)
+        predict = boosting.predict(model, features, [f"p{c}" for c in range(classes)])
+        predict.model = model
+        return predict
+    return run
+
+
 def lda_model(classes: int, shrinkage: float = 0.1) -> Fitter:
     def run(train: DataFrame, features: list[str], target: str) -> Predict:
         by = linear.moments_by(train, features, target)
@@ -350,7 +374,8 @@ def group_importance(importance: DataFrame, separator: str = "__") -> DataFrame:
 
 
 def tree_importance(df: DataFrame, predict: Predict, features: Sequence[str], top: int = 10) -> DataFrame:
-    v = predict.model.featureImportances.toArray()
+    model = predict.model
+    v = model.importances if isinstance(model, boosting.Model) else model.featureImportances.toArray()
     rows = sorted(((f, float(x)) for f, x in zip(features, v, strict=True)), key=lambda r: (-r[1], r[0]))[:top]
     return df.sparkSession.createDataFrame(rows, "variable string, importancia double")
 
