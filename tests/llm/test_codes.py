@@ -55,11 +55,9 @@ def test_appending_and_replacing_equal_encoding_anew(vocabulary):
         assert p.ids() == bpe.merge(ranks, p.data)
 
 
-def test_memo_starts_over_when_full(vocabulary, monkeypatch):
+def test_memo_starts_over_when_full(vocabulary):
     ranks, pattern, known = vocabulary
-    monkeypatch.setattr(bpe, "PIECE_BYTES", 600)
-    monkeypatch.setattr(bpe, "PAIR_BYTES", 600)
-    own = bpe.Codec(ranks, pattern)
+    own = bpe.Codec(ranks, pattern, 1200)
     for t in texts(30, 5):
         assert own.decode(own.encode(t)) == t.encode() and len(own.pieces) <= 3
 
@@ -148,5 +146,5 @@ def test_memo_of_pieces_is_bounded_by_bytes():
     for i in range(400_000):
         own[f"piece {i}"]
     used = sum(sys.getsizeof(k) + sys.getsizeof(v) for d in (own, own.old) for k, v in d.items()) + sys.getsizeof(own) + sys.getsizeof(own.old)
-    assert used < 1.5 * bpe.PIECE_BYTES and len(own) + len(own.old) > 20_000
+    assert used < 1.5 * bpe.MEMORY and len(own) + len(own.old) > 20_000
     assert own["piece 7"] == np.array(list(b"piece 7"), "<u4").tobytes()

@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 
 from veta.llm.common import narrow, process_memo, query, table, trimmed
 
-#: Bytes that a worker process remembers pieces in, and pairs of tokens; longer pieces are worked out each time.
-PIECE_BYTES, PAIR_BYTES, LONGEST = 24 << 20, 16 << 20, 64
+#: Bytes that a worker process remembers pieces and pairs of tokens in, and the share of the pairs.
+MEMORY, PAIR_SHARE = 40 << 20, 0.4
+#: Longer pieces are worked out each time.
+LONGEST = 64
 #: Bytes of an entry of a memo besides its key's and value's own.
 ENTRY = 100
 
@@ -35,14 +37,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merge(ranks: dict[bytes, int], data: bytes) -> list[int]:
     """Encoding by the definition, merging the lowest rank first; quadratic, for pairs of tokens only."""
+    none, find = len(ranks) * 2, ranks.get
     parts = [data[i: i + 1] for i in range(len(data))]
-    while len(parts) > 1:
-        found = [ranks.get(a + b, len(ranks) * 2) for a, b in zip(parts, parts[1:], strict=False)]
+    # Only the two pairs that hold a merged part change their rank.
+    found = [find(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    while found:
         best = min(found)
-        if best == len(ranks) * 2:
+        if best == none:
             break
         at = found.index(best)
         parts[at: at + 2] = [parts[at] + parts[at + 1]]
+        del found[at]
+        if at:
+            found[at - 1] = find(parts[at - 1] + parts[at], none)
+        if at < len(found):
+            found[at] = find(parts[at] + parts[at + 1], none)
     return [ranks[p] for p in parts]
 
 
@@ -77,8 +86,8 @@ class Memo(dict):
 class Pairs(Memo):
     """Whether two tokens may stand next to each other; a first token of -1 asks for the second alone."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__(PAIR_BYTES)
+    def __init__(self, ranks: dict[bytes, int], budget: int = int(PAIR_SHARE * MEMORY)):
+        super().__init__(budget)
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
 
     def work(self, key: int) -> bool:
@@ -145,15 +154,16 @@ class Prefixes:
 class Pieces(Memo):
     """Piece of text to its packed ids."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__(PIECE_BYTES)
-        self.ranks, self.pairs, self.longest = ranks, Pairs(ranks), max(map(len, ranks))
+    def __init__(self, ranks: dict[bytes, int], memory: int = MEMORY):
+        super().__init__(int((1 - PAIR_SHARE) * memory))
+        self.ranks, self.pairs, self.longest = ranks, Pairs(ranks, int(PAIR_SHARE * memory)), max(map(len, ranks))
 
     def work(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.ranks.get(data)
-        ids = [whole] if whole is not None else Prefixes(self.ranks, self.pairs, self.longest).append(data).ids()
-        return np.array(ids, "<u4").tobytes()
+        if whole is not None:
+            return whole.to_bytes(4, "little")
+        return np.array(Prefixes(self.ranks, self.pairs, self.longest).append(data).ids(), "<u4").tobytes()
 
     def cost(self, piece: str, ids: bytes) -> int:
         return ENTRY + 80 + len(piece) + len(ids) if len(piece) <= LONGEST else 0
@@ -162,10 +172,10 @@ class Pieces(Memo):
 class Codec:
     """Texts to packed ids (little-endian unsigned 32-bit) and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = MEMORY):
         import regex
 
-        self.split, self.pieces = regex.compile(pattern).findall, Pieces(ranks)
+        self.split, self.pieces = regex.compile(pattern).findall, Pieces(ranks, memory)
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -177,10 +187,10 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-def codec(ranks: dict[bytes, int], pattern: str) -> Codec:
+def codec(ranks: dict[bytes, int], pattern: str, memory: int = MEMORY) -> Codec:
     """The worker's codec for this vocabulary, made once in each process."""
-    mark = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
-    return process_memo(f"codec {mark}", lambda: Codec(ranks, pattern))
+    mark = hashlib.sha256(repr((pattern, memory, sorted(ranks.items()))).encode()).hexdigest()
+    return process_memo(f"codec {mark}", lambda: Codec(ranks, pattern, memory))
 
 
 def texts(column: pa.Array) -> Iterator[str | None]:
@@ -214,12 +224,15 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, key: str =
     return frame.mapInArrow(run, f"`{key}` {frame.schema['key'].dataType.simpleString()}, data binary")
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every row, encoded and decoded in one task without moving the ids."""
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", memory: int = MEMORY) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every row, encoded and decoded in one task without moving the ids.
+
+    ``memory`` bounds what a worker process remembers: more of it saves time where words vary much.
+    """
     frame = narrow(docs, key=key, text=text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks, pattern)
+        own = codec(ranks, pattern, memory)
         for batch in trimmed(batches):
             n, ids, back = [], [], []
             for x in texts(batch.column(1)):
@@ -243,4 +256,4 @@ def multilingual() -> tuple[dict[bytes, int], str]:
 
 @query("op1_bpe")
 def op1_bpe(spark, sf):
-    return round_trip(table(spark, sf, "documents"), *multilingual())
+    return round_trip(table(spark, sf, "documents"), *multilingual(), memory=104 << 20)
