@@ -256,4 +256,4 @@ def multilingual() -> tuple[dict[bytes, int], str]:
 
 @query("op1_bpe")
 def op1_bpe(spark, sf):
-    return round_trip(table(spark, sf, "documents"), *multilingual(), memory=104 << 20)
+    return round_trip(table(spark, sf, "documents"), *multilingual(), memory=240 << 20)
