@@ -180,7 +180,7 @@ class Components:
 def components(m: Moments, standardise: bool = True) -> Components:
     """Eigenvectors of the (standardised) covariance; the largest loading of each is made positive."""
     cov = m.covariance()
-    scale = np.sqrt(np.diag(cov)) if standardise else np.ones(len(cov))
+    scale = np.sqrt(np.clip(np.diag(cov), 0, None)) if standardise else np.ones(len(cov))
     scale = np.where(scale > 0, scale, 1.0)
     values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
     values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
@@ -216,7 +216,8 @@ def group_shares(loadings: DataFrame, separator: str = "__") -> DataFrame:
 def standard_xy(m: Moments, features: Sequence[str], target: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scaled X'X, X'y and the scale of the features, from the moments of features and target."""
     part = m.pick([*features, target])
-    scale = np.sqrt(np.diag(part.covariance()))[:-1]
+    # A constant feature's variance may come out slightly below 0.
+    scale = np.sqrt(np.clip(np.diag(part.covariance()), 0, None))[:-1]
     scale = np.where(scale > 0, scale, 1.0)
     return part.cross[:-1, :-1] / np.outer(scale, scale), part.cross[:-1, -1] / scale, scale
 
@@ -232,6 +233,51 @@ def ridge_weights(m: Moments, features: Sequence[str], target: str, alphas: Sequ
     return out
 
 
+def descend(q: np.ndarray, c: np.ndarray, flat: float, square: float, w: np.ndarray, tolerance: float, sweeps: int = 10_000) -> np.ndarray:
+    """Coordinate descent on w'qw / 2 - c'w + flat |w|_1 + square |w|^2 / 2, from ``w`` on.
+
+    Only the moments are read.  Whole sweeps alternate with sweeps over the coordinates in use; it ends after a whole
+    sweep that moves no coordinate by more than ``tolerance``.
+    """
+    w, diagonal = w.copy(), np.diag(q)
+    rest = c - q @ w
+    whole = True
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in range(len(w)) if whole else np.flatnonzero(w):
+            if diagonal[j] <= 0:
+                continue
+            pull = rest[j] + diagonal[j] * w[j]
+            new = np.sign(pull) * max(abs(pull) - flat, 0.0) / (diagonal[j] + square)
+            if new != w[j]:
+                rest -= q[:, j] * (new - w[j])
+                moved = max(moved, abs(new - w[j]))
+                w[j] = new
+        if moved <= tolerance:
+            if whole:
+                break
+            whole = True
+        else:
+            whole = False
+    return w
+
+
+def sparse_weights(m: Moments, features: Sequence[str], target: str, grid: Sequence[tuple[float, float]],
+                   tolerance: float = 1e-7) -> dict[tuple[float, float], tuple[np.ndarray, float]]:
+    """Weights and intercept of (mix, penalty) of the grid: |y - Xb|^2 / 2n + penalty (mix |b|_1 + (1 - mix) |b|^2 / 2) on
+    standardised features.  One table of moments serves the whole grid; each penalty starts from the next larger one's weights."""
+    xx, xy, scale = standard_xy(m, features, target)
+    part, out = m.pick([*features, target]), {}
+    q, c = xx / max(m.n, 1), xy / max(m.n, 1)
+    spread = float(np.sqrt(max(part.covariance()[-1, -1], 0.0)))
+    for mix in sorted({g[0] for g in grid}):
+        w = np.zeros(len(c))
+        for penalty in sorted((g[1] for g in grid if g[0] == mix), reverse=True):
+            w = descend(q, c, penalty * mix, penalty * (1 - mix), w, tolerance * spread)
+            out[mix, penalty] = (w / scale, float(part.mean[-1] - (w / scale) @ part.mean[:-1]))
+    return out
+
+
 def pls_weights(m: Moments, features: Sequence[str], target: str, counts: Sequence[int]) -> dict[int, tuple[np.ndarray, float]]:
     """Partial least squares with one target for several numbers of components, by deflating X'X and X'y."""
     xx, xy, scale = standard_xy(m, features, target)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,22 +118,9 @@ def reduced(fitter: Fitter, share: float = 0.90) -> Fitter:
     return run
 
 
-def sparse_linear(order: Sequence[str], mixes: Sequence[float], penalties: Sequence[float], folds: int = 3) -> Fitter:
-    """Lasso (mix 1) or elastic net, chosen by MAE on the last expanding fold."""
-    def run(train: DataFrame, features: list[str], target: str) -> Predict:
-        d = assemble(expanding_folds(train, order, folds), features).select("_f", target, "pliegue").persist()
-        past, last = d.filter(F.col("pliegue") < folds), d.filter(F.col("pliegue") == folds)
-        best = None
-        for mix in mixes:
-            for pen in penalties:
-                m = LinearRegression(featuresCol="_f", labelCol=target, regParam=float(pen), elasticNetParam=float(mix), maxIter=100).fit(past)
-                mae = m.transform(last).agg(F.avg(F.abs(F.col(target) - F.col("prediction")))).first()[0]
-                if best is None or mae < best[0]:
-                    best = (mae, mix, pen)
-        m = LinearRegression(featuresCol="_f", labelCol=target, regParam=float(best[2]), elasticNetParam=float(best[1]), maxIter=100).fit(d)
-        d.unpersist()
-        return _affine(features, m.coefficients.toArray(), float(m.intercept))
-    return run
+def sparse_linear(order: Sequence[str], mixes: Sequence[float], penalties: Sequence[float], folds: int = 4) -> Fitter:
+    """Lasso (mix 1) or elastic net over the whole grid, chosen by squared error over expanding time folds."""
+    return grid_linear(order, [(float(m), float(p)) for m in mixes for p in penalties], linear.sparse_weights, folds)
 
 
 def _ml_number(make) -> Fitter:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -136,22 +138,120 @@ def granger_table(y: np.ndarray, x: np.ndarray, max_lag: int) -> list[tuple[int,
     return rows
 
 
+# ------------------------------------------------------------------ lagged moments
+@dataclass
+class LagTable:
+    """Cross products of a series' rows with all ``lags`` before them, and the few rows at its beginning that have fewer.
+
+    A column of the table belongs to a lag; row ``i`` of ``edges`` has ``reach[i]`` lags and NaN in columns beyond.
+    """
+
+    table: np.ndarray
+    edges: np.ndarray
+    reach: np.ndarray
+
+    def since(self, lag: int) -> np.ndarray:
+        """Cross products over all rows with at least ``lag`` lags; columns of larger lags are not to be read."""
+        z = np.nan_to_num(self.edges[self.reach >= lag])
+        return self.table + z.T @ z
+
+
+def residual(m: np.ndarray, target: int, by: Sequence[int]) -> tuple[float, np.ndarray]:
+    """Sum of squares that is left of a column after regression on others, and the weights, from their cross products."""
+    by = list(by)
+    g, c = m[np.ix_(by, by)], m[by, target]
+    d = np.sqrt(np.clip(np.diag(g), 0, None))
+    d = np.where(d > 0, d, 1.0)
+    w = np.linalg.lstsq(g / np.outer(d, d), c / d, rcond=1e-13)[0] / d
+    return max(float(m[target, target] - 2 * w @ c + w @ g @ w), 0.0), w
+
+
+def lag_tables(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], lags: int, build: Callable[[list[np.ndarray]], np.ndarray],
+               solve: Callable[[LagTable], list[tuple]], schema: str) -> DataFrame:
+    """``solve``'s rows for every series of ``keys``, from its table of lagged cross products.
+
+    Rows with a null in a value are left out first, so lags count the rows that remain.  ``build`` turns (rows x lags + 1)
+    values, the newest first, into the columns of the table.  Values are shifted by their mean.  A series may be as long as it
+    likes: its rows are multiplied where they are, and a table a task and the first ``lags`` rows are all that meet.
+    """
+    keys, names = list(keys), [f"_v{i}" for i in range(len(values))]
+    d = df.select(*keys, *order, *[F.col(v).cast("double").alias(n) for v, n in zip(values, names, strict=True)])
+    d = d.where(reduce(Column.__and__, [F.col(n).isNotNull() & ~F.isnan(n) for n in names]))
+    means = d.groupBy(*keys).agg(*[F.avg(n).alias(f"{n}_mean") for n in names])
+    d = d.join(means, keys).withColumns({n: F.col(n) - F.col(f"{n}_mean") for n in names}).drop(*[f"{n}_mean" for n in names])
+    past = framed(d, keys, order, [lambda w: {f"_a{i}": F.collect_list(n).over(w.rowsBetween(-lags, 0)) for i, n in enumerate(names)}], before=lags)
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    arrays = [f"_a{i}" for i in range(len(names))]
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            out = []
+            for key, rows in batch.groupby(keys, dropna=False, sort=False):
+                size = rows[arrays[0]].map(len).to_numpy()
+                wide = []
+                for a in arrays:
+                    x = np.full((len(rows), lags + 1), np.nan)
+                    for i, v in enumerate(rows[a]):
+                        x[i, : len(v)] = v[::-1]
+                    wide.append(x)
+                z = build(wide)
+                full = size == lags + 1
+                if full.any():
+                    held[key] = held.get(key, 0.0) + z[full].T @ z[full]
+                out += [(*key, int(n) - 1, r.tobytes()) for r, n in zip(z[~full], size[~full], strict=True)]
+            if len(held) > 4096:
+                out += [(*k, None, t.tobytes()) for k, t in held.items()]
+                held = {}
+            yield frame(out)
+        yield frame([(*k, None, t.tobytes()) for k, t in held.items()])
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*keys, "_reach", "_data"]).astype({"_reach": "Int32"})
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        edge = group["_reach"].notna()
+        z = np.array([np.frombuffer(x) for x in group["_data"][edge]])
+        tables = [np.frombuffer(x) for x in group["_data"][~edge]]
+        width = z.shape[1] if len(z) else int(np.sqrt(len(tables[0])))
+        total = sum(tables, np.zeros(width * width)).reshape(width, width)
+        found = solve(LagTable(total, z.reshape(-1, width), group["_reach"][edge].to_numpy(int)))
+        own = tuple(group[keys].iloc[0])
+        return pd.DataFrame([(*own, *r) for r in found], columns=[*keys, *[c.split()[0] for c in schema.split(", ")]])
+
+    parts = past.select(*keys, *arrays).mapInPandas(multiply, f"{kinds}, _reach int, _data binary")
+    return parts.groupBy(*keys).applyInPandas(finish, f"{kinds}, {schema}")
+
+
+def granger_rows(t: LagTable, lags: int) -> list[tuple[int, float, float]]:
+    """(lag, F, p) for each lag; the columns are one, the effect and its lags, the cause and its lags."""
+    rows = []
+    for lag in range(1, lags + 1):
+        m = t.since(lag)
+        own, other = [0, *range(2, lag + 2)], list(range(lags + 3, lags + 3 + lag))
+        n = int(round(m[0, 0]))
+        d2 = n - 2 * lag - 1
+        if d2 <= 0:
+            break
+        r, u = residual(m, 1, own)[0], residual(m, 1, own + other)[0]
+        f = (r - u) / lag / (u / d2) if u > 0 else float("nan")
+        rows.append((lag, f, f_tail(f, lag, d2)))
+    return rows
+
+
 def granger(panel: DataFrame, key: str, month: str, pairs: Sequence[tuple[str, str]], max_lag: int = 6) -> DataFrame:
-    """Causality tests (cause, effect) at lags 1..max_lag for every series of the panel."""
-    cols = sorted({c for pair in pairs for c in pair})
-    kind = panel.schema[key].dataType.simpleString()
+    """Causality tests (cause, effect) at lags 1..max_lag for every series of the panel, however long.
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(month)
-        rows = []
-        for cause, effect in pairs:
-            t = group[[effect, cause]].astype(float).dropna().to_numpy()
-            rows += [(group[key].iloc[0], cause, effect, *r) for r in granger_table(t[:, 0], t[:, 1], max_lag)]
-        return pd.DataFrame(rows, columns=[key, "causa", "efecto", "rezago", "f", "p"])
+    All pairs are told apart as series of their own and share one pass; both regressions of every lag come from one table.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("causa"), F.lit(e).alias("efecto"), F.col(f"`{e}`").cast("double").alias("_y"), F.col(f"`{c}`").cast("double").alias("_x"))
+                               for c, e in pairs]))
+    rows = panel.select(key, month, each.alias("_p")).select(key, month, "_p.*")
 
-    short_series(panel, [key])
-    return panel.select(key, month, *cols).groupBy(key).applyInPandas(
-        solve, f"{key} {kind}, causa string, efecto string, rezago int, f double, p double")
+    def build(past: list[np.ndarray]) -> np.ndarray:
+        return np.column_stack([np.ones(len(past[0])), *past])
+
+    return lag_tables(rows, [key, "causa", "efecto"], [month], ["_y", "_x"], max_lag, build, lambda t: granger_rows(t, max_lag), "rezago int, f double, p double")
 
 
 def granger_summary(tests: DataFrame, keys: Sequence[str], alpha: float = 0.05) -> DataFrame:
@@ -162,6 +262,15 @@ def granger_summary(tests: DataFrame, keys: Sequence[str], alpha: float = 0.05)
         F.least(F.lit(1.0), F.min("p") * F.count("p")).alias("p_bonferroni"))
 
 
+def unit_root_p(stat: float) -> float:
+    if stat > TAU_MAX:
+        return 1.0
+    if stat < TAU_MIN:
+        return 0.0
+    coef = TAU_SMALL if stat <= TAU_STAR else TAU_LARGE
+    return normal_cdf(sum(c * stat**i for i, c in enumerate(coef)))
+
+
 def adf_statistic(x: np.ndarray) -> tuple[float, int, float]:
     """(t statistic, lag by AIC, p) of the unit-root regression with a constant."""
     n = len(x)
@@ -180,27 +289,51 @@ def adf_statistic(x: np.ndarray) -> tuple[float, int, float]:
 
     best = min(range(top + 1), key=lambda lag: fit(lag, top)[0])
     stat = fit(best, best)[1]
-    if stat > TAU_MAX:
-        return stat, best, 1.0
-    if stat < TAU_MIN:
-        return stat, best, 0.0
-    coef = TAU_SMALL if stat <= TAU_STAR else TAU_LARGE
-    return stat, best, normal_cdf(sum(c * stat**i for i, c in enumerate(coef)))
+    return stat, best, unit_root_p(stat)
+
+
+def adf_lags(n: int) -> int:
+    """Largest lag that a series of ``n`` values is tested with."""
+    return min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+
+
+def adf_rows(t: LagTable, lags: int) -> list[tuple[int, float, int, float]]:
+    """(n, statistic, lag, p); the columns are one, the step, the level before it, and the steps before it."""
+    # The first value has no step: it is the edge row without lags.
+    n = int(round(t.since(1)[0, 0])) + 1
+    if n < 12:
+        return []
+    top = adf_lags(n)
+
+    def fit(lag: int, skip: int) -> tuple[float, float]:
+        m = t.since(skip + 1)
+        by = [2, 0, *range(3, lag + 3)]
+        rss, w = residual(m, 1, by)
+        rows, k = m[0, 0], len(by)
+        g = m[np.ix_(by, by)]
+        d = np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1.0))
+        spread = np.linalg.pinv(g / np.outer(d, d))[0, 0] / d[0] ** 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            aic = rows * (np.log(2 * np.pi * rss / rows) + 1) + 2 * k
+            return aic, float(w[0] / np.sqrt(rss / (rows - k) * spread))
+
+    best = min(range(top + 1), key=lambda lag: fit(lag, top)[0])
+    stat = fit(best, best)[1]
+    return [(n, stat, best, unit_root_p(stat))] if np.isfinite(stat) else []
 
 
 def adf(panel: DataFrame, key: str, month: str, columns: Sequence[str]) -> DataFrame:
-    """Stationarity test of every column of every series."""
-    kind = panel.schema[key].dataType.simpleString()
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(month)
-        rows = []
-        for c in columns:
-            x = group[c].astype(float).dropna().to_numpy()
-            if len(x) >= 12 and x.std() > 0:
-                rows.append((group[key].iloc[0], c, len(x), *adf_statistic(x)))
-        return pd.DataFrame(rows, columns=[key, "variable", "n", "adf", "rezago", "p"])
-
-    short_series(panel, [key])
-    return panel.select(key, month, *columns).groupBy(key).applyInPandas(
-        solve, f"{key} {kind}, variable string, n long, adf double, rezago int, p double")
+    """Stationarity test of every column of every series, however long; constant columns and series below 12 values have no row."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("_x")) for c in columns]))
+    rows = panel.select(key, month, each.alias("_p")).select(key, month, "_p.*").where(F.col("_x").isNotNull())
+    kept = rows.groupBy(key, "variable").agg(F.count("*").alias("_n"), F.stddev_pop("_x").alias("_s")).where("_n >= 12 AND _s > 0").drop("_s")
+    most = kept.agg(F.max("_n")).first()[0]
+    lags = adf_lags(most) if most else 1
+
+    def build(past: list[np.ndarray]) -> np.ndarray:
+        x = past[0]
+        step = x[:, :-1] - x[:, 1:]
+        return np.column_stack([np.ones(len(x)), step[:, 0], x[:, 1], step[:, 1:]])
+
+    d = rows.join(kept.drop("_n"), [key, "variable"], "left_semi")
+    return lag_tables(d, [key, "variable"], [month], ["_x"], lags + 1, build, lambda t: adf_rows(t, lags), "n long, adf double, rezago int, p double")
