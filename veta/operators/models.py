@@ -149,11 +149,11 @@ def boosted_number(rounds: int = 200, rate: float = 0.05, depth: int = 3, leaf:
                                              minInstancesPerNode=leaf, subsamplingRate=share, seed=seed))
 
 
-def hist_boosted_number(rounds: int = 200, rate: float = 0.04, depth: int = 3, leaf: int = 15, penalty: float = 1.0, patience: int | None = None,
-                        ids: Sequence[str] = ()) -> Fitter:
-    """Boosted histogram trees; ``patience`` stops early on a tenth of the rows, drawn by ``ids``."""
+def hist_boosted_number(rounds: int = 200, rate: float = 0.04, depth: int = 3, leaf: int = 15, penalty: float = 1.0, patience: int | None = 10,
+                        ids: Sequence[str] = (), judge_from: int = 10_000) -> Fitter:
+    """Boosted histogram trees; beyond ``judge_from`` rows ``patience`` stops early on a tenth of them, drawn by ``ids``."""
     def run(train: DataFrame, features: list[str], target: str) -> Predict:
-        model = boosting.fit(train, features, target, boosting.Squares(), None, rounds, rate, depth, leaf, penalty, patience, ids=ids)
+        model = boosting.fit(train, features, target, boosting.Squares(), None, rounds, rate, depth, leaf, penalty, patience, ids=ids or features, judge_from=judge_from)
         predict = boosting.predict(model, features, ["prediccion"])
         predict.model = model
         return predict
@@ -244,11 +244,11 @@ def boosted_classes(classes: int, rounds: int = 150, rate: float = 0.05, depth:
 
 
 def hist_boosted_classes(classes: int, rounds: int = 150, rate: float = 0.04, depth: int = 3, leaf: int = 15, penalty: float = 1.0, weigh: bool = True,
-                         patience: int | None = None, ids: Sequence[str] = ()) -> Fitter:
-    """Boosted histogram trees under one softmax loss over all classes."""
+                         patience: int | None = 10, ids: Sequence[str] = (), judge_from: int = 10_000) -> Fitter:
+    """Boosted histogram trees under one softmax loss over all classes; stops early as ``hist_boosted_number`` does."""
     def run(train: DataFrame, features: list[str], target: str) -> Predict:
         d = balanced(train, target) if weigh else train.withColumn("_w", F.lit(1.0))
-        model = boosting.fit(d, features, target, boosting.Softmax(classes), "_w", rounds, rate, depth, leaf, penalty, patience, ids=ids)
+        model = boosting.fit(d, features, target, boosting.Softmax(classes), "_w", rounds, rate, depth, leaf, penalty, patience, ids=ids or features, judge_from=judge_from)
         predict = boosting.predict(model, features, [f"p{c}" for c in range(classes)])
         predict.model = model
         return predict

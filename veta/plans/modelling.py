@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from veta.functions.columns import crush_spread, direction_class, shrink_rate
@@ -59,7 +60,7 @@ def model_baselines(spark, sf):
 
 def severity_models():
     return {"Mayoritaria": md.majority_model(3), "Logit": md.logistic_model(3, 0.05), "LDA": md.lda_model(3), "QDA": md.qda_model(3),
-            "RF_clf": md.forest_classes(3, TREES, depth=5)}
+            "RF_clf": md.forest_classes(3, TREES, depth=5), "HGB_clf": md.hist_boosted_classes(3, 150, 0.04, 3, 15, 1.0, ids=["id_embarque"])}
 
 
 P3 = ["p0", "p1", "p2"]
@@ -81,21 +82,21 @@ def severity_leaderboard(spark, sf):
 
 @query("boosted_severity")
 def boosted_severity(spark, sf):
-    """Boosted trees for the three severities, one model per class."""
+    """Boosted histogram trees for the three severities under one softmax loss, 150 rounds."""
     d, f = delay_frame(spark, sf)
     tr, va, _, _ = parts(d)
-    p = md.boosted_classes(3, ROUNDS)(tr, f, "y_sev")(va).withColumn("modelo", F.lit("GBT_clf"))
+    p = md.hist_boosted_classes(3, 150, 0.04, 3, 15, 1.0, ids=["id_embarque"])(tr, f, "y_sev")(va).withColumn("modelo", F.lit("HGB_clf"))
     return rounded(ev.multiclass_metrics(p.select("modelo", "y_sev", *P3), "y_sev", P3, ["modelo"]), 5)
 
 
 @query("delay_leaderboard")
 def delay_leaderboard(spark, sf):
-    """Days of delay: mean, ridge, forest, extra trees and boosting on validation; champion on test."""
+    """Days of delay: mean, ridge, forest, extra trees and 200 rounds of boosting on validation; champion on test."""
     d, f = delay_frame(spark, sf)
     tr, va, te, tv = parts(d)
     order = ["fecha_programada", "id_embarque"]
     models = {"Media": md.mean_model, "Ridge": md.ridge_model(order), "RF": md.forest_number(TREES, depth=5), "ET": md.extra_trees_number(TREES, depth=5),
-              "GBT": md.boosted_number(ROUNDS)}
+              "HGB": md.hist_boosted_number(200, 0.06, 4, 10, 1.0, ids=["id_embarque"])}
     val, _ = md.compare(models, tr, va, f, "retraso_d", ["retraso_d", "prediccion"])
     board = materialise(ev.regression_metrics(val, "retraso_d", "prediccion", ["modelo"], severe=6).withColumn("fase", F.lit("val")))
     best = ev.champion(board, ["fase"], [("mae", "min")], exclude=["Media"]).first()["modelo"]
@@ -173,7 +174,7 @@ def freight_model(spark, sf):
     d = materialise(enc.apply(d).select(*ids, "fecha_salida", "costo_flete_usd", "split", *enc.features))
     tr, va, te, tv = parts(d)
     models = {"Media": md.mean_model, "Ridge": md.ridge_model(["fecha_salida", *ids, "costo_flete_usd"], [1.0]),
-              "RF": md.forest_number(TREES, 5, depth=6), "GBT": md.boosted_number(ROUNDS)}
+              "RF": md.forest_number(TREES, 5, depth=6), "HGB": md.hist_boosted_number(300, 0.06, 5, 20, 0.0, ids=ids)}
     y, f = "costo_flete_usd", enc.features
     val, _ = md.compare(models, tr, va, f, y, [y, "prediccion"])
     board = materialise(ev.regression_metrics(val, y, "prediccion", ["modelo"]).withColumn("fase", F.lit("val")))
@@ -272,9 +273,15 @@ def price_frame(spark, sf, horizon=3):
 ORDER = ["mes", "serie"]
 
 
+def sparse_models():
+    """The whole grids: 40 penalties of the lasso, 30 penalties by 4 mixes of the elastic net."""
+    return {"Lasso": md.sparse_linear(ORDER, [1.0], np.logspace(-5, -0.5, 40)), "ElasticNet": md.sparse_linear(ORDER, [0.2, 0.5, 0.8, 0.95], np.logspace(-5, -0.5, 30))}
+
+
 def price_models():
     return {"Naive_RW": md.zero_model, "Media_hist": md.mean_model, "Ridge": md.ridge_model(ORDER), "PCA_Ridge": md.reduced(md.ridge_model(ORDER), 0.90),
-            "PLS": md.pls_model(ORDER), "PCA_KNN": md.reduced(md.knn_number("fila", 20), 0.90)}
+            "PLS": md.pls_model(ORDER), "HGB": md.hist_boosted_number(200, 0.04, 3, 15, 1.0, ids=["fila"]), **sparse_models(),
+            "PCA_KNN": md.reduced(md.knn_number("fila", 20), 0.90)}
 
 
 KEEP = ["serie", "mes", "soya_grano", "y", "prediccion"]
@@ -303,8 +310,7 @@ def sparse_price_model(spark, sf):
     """Lasso and elastic net on the price change, validation errors."""
     d, f = price_frame(spark, sf)
     tr, va, _, _ = parts(d)
-    models = {"Lasso": md.sparse_linear(ORDER, [1.0], [1e-3, 1e-2]), "ElasticNet": md.sparse_linear(ORDER, [0.5], [1e-3, 1e-2])}
-    return rounded(ev.regression_metrics(md.compare(models, tr, va, f, "y", ["y", "prediccion"])[0], "y", "prediccion", ["modelo"]), 6)
+    return rounded(ev.regression_metrics(md.compare(sparse_models(), tr, va, f, "y", ["y", "prediccion"])[0], "y", "prediccion", ["modelo"]), 6)
 
 
 @query("direction_model")

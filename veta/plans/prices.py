@@ -144,6 +144,29 @@ def granger_tests(spark, sf):
     return rounded(t, 6)
 
 
+def lag1_sql(cause: str, steps: str) -> str:
+    """F of one lag from variances and covariances: what the lagged cause adds to the lagged effect."""
+    v = "(PARTITION BY serie ORDER BY mes)"
+    return f"""{cause}_lg AS (SELECT serie, mes, CASE WHEN soya_aceite > 0 THEN ln(soya_aceite) END AS la, {steps} AS lx FROM panel),
+    {cause}_d AS (SELECT serie, mes, la - lag(la) OVER {v} AS y, {"lx - lag(lx) OVER " + v if cause == "petroleo" else "lx"} AS x FROM {cause}_lg),
+    {cause}_l AS (SELECT serie, y, lag(y) OVER {v} AS y1, lag(x) OVER {v} AS x1 FROM {cause}_d WHERE y IS NOT NULL AND x IS NOT NULL),
+    {cause}_m AS (SELECT serie, count(*) AS n, var_pop(y) AS yy, var_pop(y1) AS a, var_pop(x1) AS b, covar_pop(y, y1) AS ya, covar_pop(y, x1) AS yb, covar_pop(y1, x1) AS ab
+      FROM {cause}_l WHERE y1 IS NOT NULL GROUP BY 1),
+    {cause}_s AS (SELECT serie, n, yy - ya * ya / a AS r, yy - (ya * ya * b - 2 * ya * yb * ab + yb * yb * a) / (a * b - ab * ab) AS u FROM {cause}_m),
+    {cause}_f AS (SELECT serie, '{cause}' AS causa, 'aceite' AS efecto, 1 AS rezago, round((r - u) / (u / (n - 3)), 5) AS f FROM {cause}_s WHERE n > 3)"""
+
+
+@query("granger_lag1", sql_with("precio_mensual", then=f""", {PANEL_SQL}, {lag1_sql("petroleo", "CASE WHEN petroleo > 0 THEN ln(petroleo) END")},
+    {lag1_sql("enso", ENSO)} SELECT * FROM petroleo_f UNION ALL SELECT * FROM enso_f"""))
+def granger_lag1(spark, sf):
+    """F of one lag of oil and of climate on bean oil, per series."""
+    from veta.operators.stats import granger
+
+    f = features(spark, sf).select("serie", "mes", F.col("soya_aceite__ret_1m").alias("aceite"), F.col("petroleo__ret_1m").alias("petroleo"),
+                                   F.col("enso__anom").alias("enso"))
+    return rounded(granger(f, "serie", "mes", [("petroleo", "aceite"), ("enso", "aceite")], 1).drop("p"), 5)
+
+
 @query("granger_summary")
 def granger_summary(spark, sf):
     from veta.operators.stats import granger, granger_summary as summarise
