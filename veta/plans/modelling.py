@@ -91,12 +91,12 @@ def boosted_severity(spark, sf):
 
 @query("delay_leaderboard")
 def delay_leaderboard(spark, sf):
-    """Days of delay: mean, ridge, forest, extra trees and 200 rounds of boosting on validation; champion on test."""
+    """Days of delay: mean, ridge, forest, extra trees and boosting on validation; champion on test."""
     d, f = delay_frame(spark, sf)
     tr, va, te, tv = parts(d)
     order = ["fecha_programada", "id_embarque"]
     models = {"Media": md.mean_model, "Ridge": md.ridge_model(order), "RF": md.forest_number(TREES, depth=5), "ET": md.extra_trees_number(TREES, depth=5),
-              "HGB": md.hist_boosted_number(200, 0.06, 4, 10, 1.0, ids=["id_embarque"])}
+              "GBT": md.boosted_number(ROUNDS)}
     val, _ = md.compare(models, tr, va, f, "retraso_d", ["retraso_d", "prediccion"])
     board = materialise(ev.regression_metrics(val, "retraso_d", "prediccion", ["modelo"], severe=6).withColumn("fase", F.lit("val")))
     best = ev.champion(board, ["fase"], [("mae", "min")], exclude=["Media"]).first()["modelo"]
@@ -174,7 +174,7 @@ def freight_model(spark, sf):
     d = materialise(enc.apply(d).select(*ids, "fecha_salida", "costo_flete_usd", "split", *enc.features))
     tr, va, te, tv = parts(d)
     models = {"Media": md.mean_model, "Ridge": md.ridge_model(["fecha_salida", *ids, "costo_flete_usd"], [1.0]),
-              "RF": md.forest_number(TREES, 5, depth=6), "HGB": md.hist_boosted_number(300, 0.06, 5, 20, 0.0, ids=ids)}
+              "RF": md.forest_number(TREES, 5, depth=6), "GBT": md.boosted_number(ROUNDS)}
     y, f = "costo_flete_usd", enc.features
     val, _ = md.compare(models, tr, va, f, y, [y, "prediccion"])
     board = materialise(ev.regression_metrics(val, y, "prediccion", ["modelo"]).withColumn("fase", F.lit("val")))
@@ -280,8 +280,7 @@ def sparse_models():
 
 def price_models():
     return {"Naive_RW": md.zero_model, "Media_hist": md.mean_model, "Ridge": md.ridge_model(ORDER), "PCA_Ridge": md.reduced(md.ridge_model(ORDER), 0.90),
-            "PLS": md.pls_model(ORDER), "HGB": md.hist_boosted_number(200, 0.04, 3, 15, 1.0, ids=["fila"]), **sparse_models(),
-            "PCA_KNN": md.reduced(md.knn_number("fila", 20), 0.90)}
+            "PLS": md.pls_model(ORDER), **sparse_models()}
 
 
 KEEP = ["serie", "mes", "soya_grano", "y", "prediccion"]
@@ -305,6 +304,15 @@ def price_leaderboard(spark, sf):
                                      .withColumn("fase", F.lit("test"))), 5)
 
 
+@query("boosted_price")
+def boosted_price(spark, sf):
+    """Boosted histogram trees for the price change, 200 rounds, validation errors."""
+    d, f = price_frame(spark, sf)
+    tr, va, _, _ = parts(d)
+    p = materialise(md.hist_boosted_number(200, 0.04, 3, 15, 1.0, ids=["fila"])(tr, f, "y")(va).select(*KEEP, F.lit("HGB").alias("modelo")))
+    return rounded(ev.change_metrics(p, "y", "prediccion", "soya_grano", ["modelo"], ["mes", "serie"], 3), 5)
+
+
 @query("sparse_price_model")
 def sparse_price_model(spark, sf):
     """Lasso and elastic net on the price change, validation errors."""
