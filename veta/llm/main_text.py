@@ -2,8 +2,10 @@
 
 A page is read as a flat list of text blocks, cut at block-level tags.  Of each block the tree sees its number of words
 and link density, those of the blocks before and after it, and where it stands: in a menu, footer, form and the like, in
-an element whose class, id or role says so, in an article.  The tree is grown here, by Gini impurity, on the small
-labelled table ``LABELLED``.  Scripts, styles, comments of the markup, the head and form controls never make blocks.
+an element whose class, id or role says so, in an article.  A name counts only for an element that does not hold the
+page's main element or all or most of its text, and a name that merely mentions such a word not within an article.
+The tree is grown here, by Gini impurity, on the small labelled table ``LABELLED``.  Scripts, styles, comments of the
+markup, the head and form controls never make blocks.
 
 Character references are decoded, white space within a block becomes one space, and the blocks of the main text are
 joined by an empty line.  A null, empty or textless page gives the empty text.  Pages are handled one by one and whole;
@@ -15,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,13 @@ APART_NAMES = set("""ad ads advert adverts advertisement advertising sponsor spo
     signup login share sharing social related recommended recommendations comment comments disqus discussion replies reply pagination pager widget rail
     copyright disclaimer legal skip teaser outbrain taboola""".split())
 ARTICLE_NAMES = set("article articlebody content main post entry story maincontent postbody".split())
+#: Words that leave a name what it is, words after which a name tells what is around, and last words that deny the others.
+FURNITURE = set("""area bar block bottom box button buttons col column container fixed global group holder icon icons inner item items left link links list
+    mobile module outer page panel posts primary reader region right row secondary section site slot sticky stories top unit user wrap wrapper zone""".split())
+ABOUT = set("has is no non not with without hide hides".split())
+WITHOUT = {"free", "less"}
+#: Names of reader comments, which may be longer than the article they follow.
+REPLIES = set("comment comments disqus discussion replies reply".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -43,12 +53,35 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 NEVER = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
 
 
+def named(value: str) -> int:
+    """What the names in a class, id, role or itemprop say: 2 for apart, 3 for a name that only mentions such a word, -1 for an article.
+
+    The last word of a name tells what it is, the others of what kind: post-footer is a footer, footer-post is not.
+    What follows has-, no-, with- and the like is about the element's surroundings.
+    """
+    kinds = set()
+    for name in value.split():
+        words = []
+        for w in NAME.findall(name):
+            if w.lower() in ABOUT:
+                break
+            words.append(w.lower())
+        if words and words[-1] in WITHOUT:
+            continue
+        if not APART_NAMES.isdisjoint(words):
+            kinds.add(2 if words[-1] in APART_NAMES or all(w in APART_NAMES or w in FURNITURE or w.isdigit() for w in words) else 3)
+        elif not ARTICLE_NAMES.isdisjoint(words):
+            kinds.add(-1)
+    return next((k for k in (2, -1, 3) if k in kinds), 0)
+
+
 def standing(tag: str, attributes: str) -> int:
-    """1 for an element that sets its text apart, 2 if only by its name or class, -1 for an article, 0 for any other."""
+    """1 for an element that sets its text apart, 2 if only by its name or class, 3 if that only mentions it, -1 for an article, 0 for any other."""
     if tag in APART:
         return 1
     found = 0
     if attributes:
+        kinds = set()
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
@@ -56,12 +89,11 @@ def standing(tag: str, attributes: str) -> int:
             if key == "role" and value.lower() in APART_ROLES:
                 return 1
             if key in ("class", "id", "role", "itemprop"):
-                words = {w.lower() for w in NAME.findall(value)}
-                if words & APART_NAMES:
-                    return 2
-                if words & ARTICLE_NAMES:
-                    found = -1
-    return -1 if tag in ("article", "main") else 2 if tag == "header" and not found else found
+                kinds.add(named(value))
+        found = next((k for k in (2, -1, 3) if k in kinds), 0)
+    if tag == "main":
+        return -1
+    return 2 if found == 2 else -1 if tag == "article" else 2 if tag == "header" and found != -1 else found
 
 
 def closings(page: str) -> dict[int, int]:
@@ -92,13 +124,27 @@ def closings(page: str) -> dict[int, int]:
     return found
 
 
+@dataclass(eq=False, slots=True)
+class Element:
+    """An open element: its words outside what is surely apart, and what it holds."""
+
+    tag: str
+    stands: int
+    replies: bool = False
+    words: int = 0
+    main: bool = False
+    article: bool = False
+
+
 class Blocks:
     """The flat blocks of one page: texts, and for each (words, words in links, apart, named apart, in article, heading, marked)."""
 
     def __init__(self, page: str):
         self.texts: list[str] = []
         self.facts: list[tuple] = []
-        self.open: list[tuple[str, int]] = []
+        self.around: list[list[Element]] = []
+        self.words = 0
+        self.open: list[Element] = []
         self.parts: list[str] = []
         self.link_parts: list[str] = []
         self.links = self.marked = 0
@@ -142,15 +188,25 @@ class Blocks:
                 if name in CONTAINER:
                     if closing:
                         for i in range(len(self.open) - 1, -1, -1):
-                            if self.open[i][0] == name:
+                            if self.open[i].tag == name:
                                 del self.open[i:]
                                 break
                     elif not (m[3] or m[6] or "").endswith("/"):
-                        self.open.append((name, standing(name, m[3] or m[6])))
+                        self.enter(name, m[3] or m[6] or "")
                 self.heading = not closing and name in ("h1", "h2", "h3", "h4", "h5", "h6")
         if at < end and not head:
             self.say(page[at:])
         self.cut()
+        self.settle()
+
+    def enter(self, name: str, attributes: str) -> None:
+        stands = standing(name, attributes)
+        if stands == -1:
+            for e in self.open:
+                e.main |= name == "main" or "articlebody" in attributes.lower()
+                e.article |= name == "article"
+        replies = stands == 2 and not REPLIES.isdisjoint(w.lower() for w in NAME.findall(attributes))
+        self.open.append(Element(name, stands, replies))
 
     def say(self, text: str) -> None:
         text = html.unescape(text) if "&" in text else text
@@ -162,15 +218,37 @@ class Blocks:
         if self.parts:
             words = "".join(self.parts).split()
             if words:
-                stands = [s for _, s in self.open if s]
-                apart = 1 in stands
-                inner = next((s for s in reversed(stands)), 0)
-                # A header within an article holds its title.
-                titled = inner == 2 and self.open and -1 in stands and next((t for t, s in reversed(self.open) if s), "") == "header"
+                around = [e for e in self.open if e.stands]
+                if all(e.stands != 1 for e in around):
+                    self.words += len(words)
+                    for e in around:
+                        e.words += len(words)
                 self.texts.append(" ".join(words))
-                self.facts.append((len(words), len(" ".join(self.link_parts).split()), apart, 2 in stands and not titled, -1 in stands, self.heading, self.marked))
+                self.around.append(around)
+                self.facts.append((len(words), len(" ".join(self.link_parts).split()), self.heading, self.marked))
             self.parts, self.link_parts = [], []
 
+    def released(self, e: Element, in_article: bool) -> bool:
+        """Whether an element stays with the text whatever its name: it holds the main element or, but for replies, all or most of the page."""
+        if e.main:
+            return True
+        most = 2 * e.words > self.words
+        return e.stands == 3 and (in_article or most) or e.article and most or not e.replies and 20 * e.words >= 19 * self.words
+
+    def settle(self) -> None:
+        """Complete the facts, now that it is known what each element holds."""
+        for i, around in enumerate(self.around):
+            stands, tags = [], []
+            for e in around:
+                if e.stands in (2, 3) and self.released(e, -1 in stands):
+                    continue
+                stands.append(2 if e.stands == 3 else e.stands)
+                tags.append(e.tag)
+            # A header within an article holds its title.
+            titled = -1 in stands and stands[-1] == 2 and tags[-1] == "header"
+            words, links, heading, marked = self.facts[i]
+            self.facts[i] = (words, links, 1 in stands, 2 in stands and not titled, -1 in stands, heading, marked)
+
 
 def features(facts: list[tuple]) -> np.ndarray:
     """One row a block, in the order of ``FEATURES``."""
@@ -209,6 +287,9 @@ LABELLED = (
     "<div class=notice><p>{22}</p></div><x-main><h1>{4}</h1><p>{2}</p><p>{64}</p></x-main><div id=reader-comments><p>{15}</p><p>{52}</p></div><form>{4}</form><footer>{9}</footer>",
     "<nav><p>{30}</p></nav><x-main><p>{5}</p><p>{75}</p></x-main><aside>{60}</aside><dialog><p>{20}</p></dialog><footer>{40}</footer>",
     "<x-main><h1>{3}</h1><p>{6}</p><p>{40}</p></x-main><div class=disclaimer>{45}</div><form><p>{50}</p></form>",
+    "<div class='container no-sidebar'><nav><a>{2}</a></nav><article><x-main><h1>{4}</h1><p>{40}</p></x-main><div class=legal-text><x-main><p>{30}</p></x-main></div></article></div>",
+    "<main class=has-header><section class=share-price-report><x-main><p>{35}</p><p>{3}</p></x-main></section><div class=share-buttons><a>{2}</a></div></main><p>{20}</p>",
+    "<div class=page-header><x-main><h1>{4}</h1><p>{60}</p><p>{44}</p></x-main></div>",
 )
 
 
