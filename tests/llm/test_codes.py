@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import tracemalloc
+from datetime import UTC, datetime
 
 import numpy as np
 import pytest
@@ -148,3 +150,31 @@ def test_memo_of_pieces_is_bounded_by_bytes():
     used = sum(sys.getsizeof(k) + sys.getsizeof(v) for d in (own, own.old) for k, v in d.items()) + sys.getsizeof(own) + sys.getsizeof(own.old)
     assert used < 1.5 * bpe.MEMORY and len(own) + len(own.old) > 20_000
     assert own["piece 7"] == np.array(list(b"piece 7"), "<u4").tobytes()
+
+
+def test_multiset_of_many_lines_stays_small():
+    tracemalloc.start()
+    got = multiset.state(["\n" * 300_000, "a b c d\n" * 40_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    one, two = multiset.state([""]).lanes.astype(np.int64), multiset.state(["a b c d"]).lanes.astype(np.int64)
+    assert (got.lanes == np.concatenate((one * 300_001, two * 40_000 + one)) % (1 << 16)).all()
+
+
+def test_multiset_batches_of_lines_add_up(monkeypatch):
+    texts = ["", "a\nb\na", "b", "\n\n", "\n".join(str(i % 7) for i in range(50)), "x"]
+    whole = multiset.state(texts).fingerprints()
+    monkeypatch.setattr(multiset, "LINES", 3)
+    assert multiset.state(texts).fingerprints() == whole
+
+
+def test_urls_cannot_forge_header_fields(spark):
+    bad = ["x WARC-Refers-To: <urn:page:5>", "a\r\nWARC-Refers-To: <urn:page:6>", "b\u2028WARC-Type: revisit", "c\u0085WARC-Refers-To: <urn:page:7>", "d\t🎉é", None, ""]
+    path = warc.new_folder(spark)
+    warc.write(spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(bad)], "page_id long, url string, html string"), path, date=datetime(2024, 5, 6, 7, 8, 9, tzinfo=UTC))
+    got = {r.key: r for r in warc.read(spark, path).collect()}
+    assert all(r.refers_to is None and r.record_type == "response" for r in got.values())
+    assert got[0].url == "x%20WARC-Refers-To:%20<urn:page:5>" and got[1].url == "a%0D%0AWARC-Refers-To:%20<urn:page:6>"
+    assert got[2].url == "b%E2%80%A8WARC-Type:%20revisit" and got[4].url == "d%09🎉é" and got[5].url is None
+    assert all("\r\nWARC-Date: 2024-05-06T07:08:09Z\r\n" in r.header for r in warc.records(spark, path).collect())

@@ -5,7 +5,8 @@ Records whose payloads are equal (equal SHA-256 and length, compared byte for by
 least ``least`` bytes long share one response: the one with the smallest id.  The others are revisits that refer to it.
 ``read`` joins headers and stored facts again; ``records`` rebuilds the original records, payload included.
 
-Null payloads are empty.  Rows with a null id count as larger than any id.  Of repeated rows (same id and payload) all
+White space and control characters of a url are percent-encoded.  Null payloads are empty; a null url gives no
+WARC-Target-URI.  Rows with a null id count as larger than any id.  Of repeated rows (same id and payload) all
 are written; where ids repeat within equal payloads, the rows with the smallest id all are responses.  Other columns are
 ignored.  An empty table gives an empty archive.
 """
@@ -13,6 +14,7 @@ ignored.  An empty table gives an empty archive.
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,20 @@ def base32(hexed: Column) -> Column:
     return F.translate(F.concat(*parts), HEX32, BASE32)
 
 
-def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> None:
-    """Write ``path``/payloads (sha256, n, sha1, payload) and ``path``/headers (key, sha256, header)."""
+def address(url: Column) -> Column:
+    """The url with white space and control characters percent-encoded, so that it stays one word of one line."""
+    unfit = r"[\p{Cntrl}\p{Z}\s]"
+    encoded = F.transform(F.regexp_extract_all(url, F.lit("(?s)."), F.lit(0)),
+                          lambda c: F.when(c.rlike(unfit), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
+    return F.when(url.rlike(unfit), F.array_join(encoded, "")).otherwise(url)
+
+
+def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, date: datetime | None = None) -> None:
+    """Write ``path``/payloads (sha256, n, sha1, payload) and ``path``/headers (key, sha256, header).
+
+    ``date`` is the WARC-Date of all records (now if not given).
+    """
+    written = (date or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     frame = narrow(pages, key=key, url=url, payload=payload)
     body = F.encode(F.coalesce(F.col("payload").cast("string"), F.lit("")), "utf-8")
     known = frame.select("key", "url", body.alias("payload")).withColumn("sha256", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload"))
@@ -44,7 +58,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     lines = F.concat_ws(
         BREAK, F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("key").cast("string"), F.lit(">")),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", " ")),
+        F.lit(f"WARC-Date: {written}"), F.concat(F.lit("WARC-Target-URI: "), address(F.col("url").cast("string"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.upper(F.col("sha1")))),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(">"))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
@@ -53,7 +67,8 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
 
 
 def field(name: str) -> Column:
-    return F.nullif(F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)\r?$", 1), F.lit(""))
+    """A field of the header block: the rest of the line that starts with its name; only CRLF ends a line."""
+    return F.nullif(F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
 
 
 def payload_facts(spark: SparkSession, path: str) -> DataFrame:
@@ -71,7 +86,7 @@ def read(spark: SparkSession, path: str, key_type: str = "bigint") -> DataFrame:
     """(key, url, payload_bytes, payload_digest, record_type, refers_to) of every record, from the header blocks and the stored bytes."""
     headers = spark.read.parquet(f"{path}/headers")
     told = headers.select("key", "sha256", field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"),
-                          F.regexp_extract("header", r"WARC-Refers-To: <urn:page:([^>]*)>", 1).alias("to"), field("WARC-Payload-Digest").alias("digest"))
+                          F.regexp_extract(field("WARC-Refers-To"), "^<urn:page:(.*)>$", 1).alias("to"), field("WARC-Payload-Digest").alias("digest"))
     both = told.join(payload_facts(spark, path), "sha256")
     same = F.concat(F.lit("sha1:"), F.col("payload_digest")) == F.col("digest")
     digest = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("header and payload differ: "), F.col("sha256"))))
