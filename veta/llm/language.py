@@ -2,7 +2,8 @@
 
 A text is the average of the embeddings of its subwords, the 2- to 4-byte strings of its words with a space at either
 end, hashed into ``BUCKETS``.  Embeddings and softmax are trained together by stochastic gradient descent in numpy, on a
-bounded sample: about ``PER_LANG`` documents a language, of each at most ``TRAIN_CHARS`` characters, chosen by a hash.
+bounded sample: about ``PER_LANG`` documents a language, chosen by a hash.  The executors turn each whole text into its bag
+of at most ``BUCKETS`` subword counts, and only bags reach the driver.
 A fifth of the sample is held back to calibrate: the temperature that makes the scores probabilities, and the score
 below which a prediction is rejected, which loses at most ``LOST`` of the right predictions and is never above a half.
 Predictions read whole texts.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from veta.llm.common import at, byte_view, named, narrow, numbered, portions, query, table, trimmed
 
 BUCKETS, DIM = 1 << 14, 16
-PER_LANG, TRAIN_CHARS = 400, 4_000
+PER_LANG = 400
 EPOCHS, BATCH, RATE = 4, 32, 1.0
 LOST, SEED = 0.001, 11
 UNKNOWN = "und"
@@ -104,35 +105,53 @@ def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return byte_view(pa.array(texts, pa.string()))
 
 
-def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets and their shares, text by text."""
-    out = []
-    for t in texts:
-        ids, counts = np.unique(np.concatenate([i for i, _ in subwords(*packed([t]))]), return_counts=True)
-        out.append((ids, counts / max(1, counts.sum())))
-    return out
+Bag = tuple[np.ndarray, np.ndarray]
 
 
-def stretched(rows: list[tuple[str, str]], rng: np.random.Generator) -> list[tuple[str, str]]:
-    """The rows, and for each a stretch of a few of its words."""
-    out = list(rows)
-    for lang, text in rows:
-        words = text.split()
-        first = int(rng.integers(0, max(1, len(words) - 3)))
-        out.append((lang, " ".join(words[first: first + int(rng.integers(1, 20))])))
-    return out
+def bag(text: str) -> Bag:
+    """Distinct buckets of the whole text and how often each occurs."""
+    total = sum(np.bincount(ids, minlength=BUCKETS) for ids, _ in subwords(*packed([text])))
+    ids = np.flatnonzero(total)
+    return ids.astype(np.int32), total[ids]
 
 
-def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RATE, lost: float = LOST, seed: int = SEED) -> Model | None:
-    """A model of (lang, text) rows; None without rows.  Each text is also seen as a stretch of a few of its words."""
+def stretch(text: str, seed: int) -> str:
+    """Up to 19 words from somewhere in the text."""
+    rng = np.random.default_rng(seed)
+    start = text.rfind(" ", 0, int(rng.integers(0, max(1, len(text))))) + 1
+    return " ".join(text[start: start + 1000].split()[: int(rng.integers(1, 20))])
+
+
+@dataclass
+class Example:
+    lang: str
+    whole: Bag
+    part: Bag
+
+
+def example(lang: str, text: str, seed: int) -> Example:
+    return Example(lang, bag(text), bag(stretch(text, seed)))
+
+
+def train(rows: list[tuple[str, str]], seed: int = SEED, **how) -> Model | None:
+    """A model of (lang, text) rows; None without rows."""
+    return fit([example(lang, text, seed + i) for i, (lang, text) in enumerate(rows)], seed=seed, **how)
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    return counts / max(1, counts.sum())
+
+
+def fit(rows: list[Example], epochs: int = EPOCHS, rate: float = RATE, lost: float = LOST, seed: int = SEED) -> Model | None:
+    """A model of examples, each seen whole and as a stretch of a few of its words; None without examples."""
     if not rows:
         return None
     rng = np.random.default_rng(seed)
-    langs = sorted({lang for lang, _ in rows})
+    langs = sorted({r.lang for r in rows})
     held = [r for i, r in enumerate(rows) if i % 5 == 0] if len(rows) >= 5 * len(langs) else rows
     used = [r for i, r in enumerate(rows) if i % 5] if held is not rows else rows
-    used, held = stretched(used, rng), stretched(held, rng)
-    seen, y = bags([t for _, t in used]), np.array([langs.index(lang) for lang, _ in used])
+    seen = [(ids, shares(n)) for kind in ("whole", "part") for ids, n in (getattr(r, kind) for r in used)]
+    y = np.array([langs.index(r.lang) for r in used] * 2)
     model = Model(langs, rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros((DIM, len(langs))), np.zeros(len(langs)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -141,22 +160,23 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RATE,
             part = [i for i in order[s: s + BATCH] if len(seen[i][0])]
             if not part:
                 continue
-            ids, shares = np.concatenate([seen[i][0] for i in part]), np.concatenate([seen[i][1] for i in part])
+            ids, weight = np.concatenate([seen[i][0] for i in part]), np.concatenate([seen[i][1] for i in part])
             sizes = np.array([len(seen[i][0]) for i in part])
             own = np.repeat(np.arange(len(part)), sizes)
-            hidden = np.add.reduceat(model.embedding[ids] * shares[:, None], np.cumsum(sizes) - sizes, axis=0)
+            hidden = np.add.reduceat(model.embedding[ids] * weight[:, None], np.cumsum(sizes) - sizes, axis=0)
             wrong = softmax(hidden @ model.weights + model.bias)
             wrong[np.arange(len(part)), y[part]] -= 1
             back = wrong @ model.weights.T
             model.weights -= step * hidden.T @ wrong
             model.bias -= step * wrong.mean(axis=0)
-            np.subtract.at(model.embedding, ids, step * shares[:, None] * back[own])
+            np.subtract.at(model.embedding, ids, step * weight[:, None] * back[own])
     return calibrate(model, held, lost)
 
 
-def calibrate(model: Model, held: list[tuple[str, str]], lost: float) -> Model:
-    z = model.logits(*packed([t for _, t in held]))
-    y = np.array([model.langs.index(lang) for lang, _ in held])
+def calibrate(model: Model, held: list[Example], lost: float) -> Model:
+    bags = [b for r in held for b in (r.whole, r.part)]
+    z = np.stack([shares(n) @ model.embedding[ids] for ids, n in bags]) @ model.weights + model.bias
+    y = np.repeat([model.langs.index(r.lang) for r in held], 2)
     every = np.arange(len(y))
     model.temperature = min(np.geomspace(0.05, 20, 61), key=lambda t: -np.log(softmax(z / t)[every, y] + 1e-12).mean())
     p = softmax(z / model.temperature)
@@ -165,17 +185,26 @@ def calibrate(model: Model, held: list[tuple[str, str]], lost: float) -> Model:
     return model
 
 
-def sample(docs: DataFrame, lang: str, text: str, key: str, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """About ``per_lang`` labelled rows of each language, the same ones each time.  One row a language and the sample reach the driver."""
+def sample(docs: DataFrame, lang: str, text: str, key: str, per_lang: int = PER_LANG) -> list[Example]:
+    """About ``per_lang`` labelled rows of each language, the same ones each time.  One row a language and the sample's bags reach the driver."""
     frame = narrow(docs, key=key, lang=lang, text=text).where("lang is not null and text is not null")
     counts = {r.lang: r["count"] for r in frame.groupBy("lang").count().collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_lang / n))])
     h = F.xxhash64(F.lit(SEED), "key", "text")
-    chosen = frame.where(F.shiftrightunsigned(h, 11) / float(1 << 53) < share[F.col("lang")])
-    rows = chosen.select("lang", h.alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text")).collect()
-    return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.h, r.text, r.lang))]
+    chosen = frame.where(F.shiftrightunsigned(h, 11) / float(1 << 53) < share[F.col("lang")]).select("lang", h.alias("h"), "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, seed, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                e = example(name, whole, seed % (1 << 64))
+                parts = [x.astype(kind).tobytes() for b in (e.whole, e.part) for x, kind in zip(b, ("<i4", "<i8"), strict=True)]
+                yield pa.record_batch([pa.array([name]), pa.array([seed]), *[pa.array([x], pa.binary()) for x in parts]], names=["lang", "h", "a", "b", "c", "d"])
+
+    rows = chosen.mapInArrow(run, "lang string, h bigint, a binary, b binary, c binary, d binary").collect()
+    read = lambda ids, n: (np.frombuffer(ids, "<i4"), np.frombuffer(n, "<i8"))
+    return [Example(r.lang, read(r.a, r.b), read(r.c, r.d)) for r in sorted(rows, key=lambda r: (r.h, r.lang, bytes(r.a)))]
 
 
 def held_out(key: Column) -> Column:
@@ -184,7 +213,7 @@ def held_out(key: Column) -> Column:
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Learn from the labelled rows that are not held out."""
-    return train(sample(docs.where(~held_out(F.col(key))), lang, text, key))
+    return fit(sample(docs.where(~held_out(F.col(key))), lang, text, key))
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,4 +257,4 @@ def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 def op10_language(spark, sf):
     docs = table(spark, sf, "documents")
     found = predict(docs, learn(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
