@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veta.llm import language, licenses, main_text, mixing, repeats
@@ -168,6 +169,61 @@ def test_mix_meets_targets(spark, monkeypatch):
     assert whole.columns == docs.columns and set(map(tuple, whole.collect())) <= {(*r, "x") for r in rows}
 
 
+def test_shards_get_the_blocks_that_the_tree_gave_them(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 400)
+    rows = [(i, f"t{i} " + "w " * (i % 40), "abc"[i % 3]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed, shards = mixing.mix(docs, shards=8, cut=False), {}
+    for r in mixing.mixture(docs, shards=8, shard="no").collect():
+        shards.setdefault(r.no, []).append(r.doc_id)
+    told = {}
+    for r in mixing.takings(mixed).where("words > 0").orderBy("place").collect():
+        told.setdefault(r.shard, []).append(r.doc_id)
+    assert {k: sorted(v) for k, v in shards.items()} == {k: sorted(v) for k, v in told.items()} and sorted(shards) == list(range(8))
+    asked = []
+    tree = mixing.split
+    monkeypatch.setattr(mixing, "split", lambda quotas, first, last, seed: asked.append((first, last, tree(quotas, first, last, seed))) or asked[-1][2])
+    placed = mixing.mix(docs, shards=8, cut=False)
+    quotas = next(q for first, last, q in asked if (first, last) == (0, 8))
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    seen = {}
+    for r in placed.select("doc_id", "h", F.posexplode("shards").alias("no", "shard")).collect():
+        source = "abc"[r.doc_id % 3]
+        blocks = max(1, -(-sizes[source] // 400))
+        seen.setdefault((r.shard, source), set()).add((r.no, int(((r.h % (1 << 64)) >> 33) * blocks / float(1 << 31))))
+    assert {k: len(v) for k, v in seen.items()} == {(i, s): quotas[i, n] for i in range(8) for n, s in enumerate("abc") if quotas[i, n]}
+    assert np.ptp(quotas.sum(axis=1)) <= 1
+
+
+def test_training_bags_hold_whole_texts(spark):
+    late = "qqq " * 5000 + "the ingon her " * 3000
+    docs = spark.createDataFrame([(i, late if i % 2 else "ßge und sch ein " * 9, "aa" if i % 2 else "bb") for i in range(40)], "doc_id long, text string, lang string")
+    rows = language.sample(docs, "lang", "text", "doc_id")
+    ids, counts = language.bag(late)
+    assert len(rows) == 40 and all((r.whole[0] == ids).all() and (r.whole[1] == counts).all() for r in rows if r.lang == "aa")
+    end = language.bag("the ingon her")[0]
+    assert np.isin(end, ids).sum() >= len(end) - 3
+
+
+def test_scores_equal_a_plain_version():
+    """One text at a time, with dictionaries in place of arrays."""
+    model = language.train([(lang, t) for _, t, lang in made(200, 5)])
+    for text in [t for _, t, _ in made(20, 6)] + ["ÄB c--d", "x", "é", "Ωmega und  so"]:
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        line = b" " + b" ".join(bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in raw).split()) + b" "
+        counts = {}
+        for n in (2, 3, 4):
+            for i in range(len(line) - n + 1):
+                value = int.from_bytes(line[i: i + n]) * language.HASHES[n] % (1 << 32) >> 18
+                counts[value] = counts.get(value, 0) + 1
+        total = sum(counts.values())
+        hidden = [sum(c * model.embedding[b][d] for b, c in counts.items()) / total for d in range(language.DIM)]
+        z = [sum(x * w for x, w in zip(hidden, model.weights[:, k], strict=True)) + model.bias[k] for k in range(len(model.langs))]
+        e = [np.exp((x - max(z)) / model.temperature) for x in z]
+        best, score = model.predict(*language.packed([text]))
+        assert best[0] == int(np.argmax(e)) and abs(score[0] - max(e) / sum(e)) < 1e-4
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     rng = random.Random(6)

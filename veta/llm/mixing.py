@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veta.llm.common import at, byte_view, named, narrow, numbered, portions, query, table
+from veta.llm.common import at, byte_view, named, narrow, numbered, partitions, portions, query, table
 from veta.session import materialise
 
 #: Words of a block, and blocks of a source at most; larger sources have larger blocks.
@@ -157,18 +157,24 @@ def takings(mixed: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFram
     return each.select(key, "h", "shard", F.xxhash64(F.lit(seed), "shard", "no", "h").alias("place"), words.alias("words"))
 
 
-def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **rules) -> DataFrame:
-    """The mixed rows with all their columns, as often as each is taken, in a random order within each partition.
+def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, shard: str | None = None, **rules) -> DataFrame:
+    """The mixed rows with all their columns, as often as each is taken, shard by shard in the random order of the shard's places.
 
-    Documents are taken whole, so a source may miss its target by up to half a document.  Documents without words go.
+    A shard is spread over several partitions by its places, so its size does not decide the size of a task.  ``shard`` names
+    a further column for the shard's number.  Documents are taken whole, so a source may miss its target by up to half a
+    document.  Documents without words go.
     """
     mixed = mix(docs, seed=seed, cut=False, key=key, text=text, source=source, **rules)
     name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null"))
-    taken = takings(mixed, key, seed).where("words > 0").select(name(key).alias("k"), "h", "place").distinct()
+    taken = takings(mixed, key, seed).where("words > 0").select(name(key).alias("k"), "h", "shard", "place").distinct()
     own = numbered(docs).withColumn("h", F.xxhash64(F.lit(seed), at(docs, key), at(docs, text))).withColumn("k", name(at(docs, key)))
-    return named(own.join(taken, ["k", "h"]).sortWithinPartitions("place"), docs)
+    parts = partitions(docs.sparkSession)
+    piece = F.floor(F.shiftrightunsigned("place", 33) * F.lit(parts) / F.lit(float(1 << 31)))
+    dealt = own.join(taken, ["k", "h"]).repartition(parts, "shard", piece).sortWithinPartitions("shard", "place")
+    rows = named(dealt, docs) if shard is None else dealt.select(*[F.col(at(docs, c)).alias(c) for c in docs.columns], F.col("shard").alias(shard))
+    return rows
 
 
 @query("op4_mixing")
 def op4_mixing(spark, sf):
-    return mix(table(spark, sf, "documents")).drop("h", "passes", "shards")
+    return mix(table(spark, sf, "documents")).drop("h", "passes")
