@@ -280,7 +280,7 @@ def sparse_models():
 
 def price_models():
     return {"Naive_RW": md.zero_model, "Media_hist": md.mean_model, "Ridge": md.ridge_model(ORDER), "PCA_Ridge": md.reduced(md.ridge_model(ORDER), 0.90),
-            "PLS": md.pls_model(ORDER), **sparse_models()}
+            "PLS": md.pls_model(ORDER), **sparse_models(), "PCA_KNN": md.reduced(md.knn_number("fila", 20), 0.90)}
 
 
 KEEP = ["serie", "mes", "soya_grano", "y", "prediccion"]
