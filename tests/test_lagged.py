@@ -112,3 +112,20 @@ def test_constant_rows_and_columns(spark):
     df, _, _, names = sparse_data(spark, 30)
     w, b = linear.sparse_weights(linear.moments(df.withColumn("y", F.lit(2.0)), [*names, "y"]), names, "y", [(1.0, 0.1)])[1.0, 0.1]
     assert not w.any() and b == pytest.approx(2.0)
+
+
+def test_rank_correlation_by_group_with_ties_and_a_constant(spark):
+    import pandas as pd
+
+    from veta.operators.stats import rank_correlation
+
+    rng = np.random.default_rng(8)
+    d = pd.DataFrame({"g": ["a"] * 40 + ["b"] * 30 + ["c"] * 5, "x": [*rng.integers(0, 9, 70) * 1.0, *[2.0] * 5], "y": [*rng.integers(0, 7, 70) * 1.0, *range(5)]})
+    got = {r["g"]: (r["n"], r["rho"]) for r in rank_correlation(spark.createDataFrame(d), "x", "y", ["g"]).collect()}
+    for g, rows in d.groupby("g"):
+        n, rho = got[g]
+        assert n == len(rows)
+        if g == "c":
+            assert rho is None
+        else:
+            assert np.isclose(rho, rows.x.rank().corr(rows.y.rank()))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veta.functions.tails import beta_regularised, f_pvalue, f_tail, normal_cdf, t_pvalue  # noqa: F401
-from veta.operators.sequence import average_ranks, crowded, framed
+from veta.operators.sequence import attach, average_ranks, crowded, framed
 
 # Response surface for the unit-root p-value with a constant (MacKinnon 1994).
 TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
@@ -80,6 +80,23 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return out
 
 
+def rank_correlation(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> DataFrame:
+    """Rank correlation of two columns in every group of ``keys`` (null keys are a group), with average ranks; null where a column is constant."""
+    keys = list(keys)
+    both = (df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+            .groupBy(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
+    for side in ("_a", "_b"):
+        counted = both.groupBy(*keys, side).agg(F.sum("_n").alias("_m"))
+        ranks = average_ranks(counted, side, "_m", keys, f"{side}_rank").select(*keys, side, f"{side}_rank")
+        both = attach(both, ranks, [*keys, side])
+    x, y, n = F.col("_a_rank"), F.col("_b_rank"), F.col("_n")
+    s = both.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(n * x).alias("sx"), F.sum(n * y).alias("sy"), F.sum(n * x * y).alias("sxy"),
+                                F.sum(n * x * x).alias("sxx"), F.sum(n * y * y).alias("syy"))
+    sx, sy, total = F.col("sx"), F.col("sy"), F.col("n")
+    spread = (F.col("sxx") - sx * sx / total) * (F.col("syy") - sy * sy / total)
+    return s.select(*keys, "n", ((F.col("sxy") - sx * sy / total) / F.nullif(F.sqrt(spread), F.lit(0.0))).alias("rho"))
+
+
 def holm(df: DataFrame, family: Sequence[str], p: str, ties: Sequence[str], alpha: float = 0.05,
          name: str = "rechaza") -> DataFrame:
     """Step-down rejection per family.  A family is one row per model, so its window is short by nature."""

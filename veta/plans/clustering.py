@@ -186,6 +186,25 @@ def dbscan_clusters(spark, sf):
     return nb.density_clusters(m, p, eps, least).select("id_productor", "vecinos", "nucleo", "grupo")
 
 
+@query("producer_outliers", sql_with(*PVIEWS, then=f""", {FEW_SQL}, d AS (SELECT a.id_productor AS i, b.id_productor AS j FROM x a JOIN x b ON {DIST} <= 1.0),
+    c AS (SELECT i FROM d GROUP BY 1 HAVING count(*) >= 12), r AS (SELECT i, max(CASE WHEN j IN (SELECT i FROM c) THEN 1 ELSE 0 END) AS alcanza FROM d GROUP BY 1)
+    SELECT i AS id_productor, alcanza = 0 AS atipico FROM r"""))
+def producer_outliers(spark, sf):
+    """Producers that no dense spot reaches: neither core nor beside a core point."""
+    return nb.density_clusters(few(spark, sf), FEW, 1.0, 12).select("id_productor", (F.col("grupo") == -1).alias("atipico"))
+
+
+@query("producer_segments")
+def producer_segments(spark, sf):
+    """Segment of the best k for every producer, and whether density clusters leave it out as an outlier (radius: 95 % quantile)."""
+    m, p = producer_matrix(spark, sf), PROFILE_FEATURES
+    labels, _, k = sweep(m, p, ["id_productor"], (2, 3, 4))
+    least = 2 * len(p)
+    eps = quantiles(nb.kth_distance(m, p, least, "id_productor"), "distancia", {"q": 0.95}).first()["q"]
+    out = nb.density_clusters(m, p, eps, least).select("id_productor", (F.col("grupo") == -1).alias("atipico"))
+    return labels.select("id_productor", F.col(f"k{k}").alias("segmento")).join(out, "id_productor")
+
+
 @query("cluster_stability")
 def cluster_stability(spark, sf):
     """Agreement between seeds and between halves for two producer segments."""

@@ -202,6 +202,14 @@ def change_metrics(spark, sf):
     return rounded(op.change_metrics(change_rows(spark, sf), "y", "p", "soya_grano", ["serie"], ["mes"], 3), 5)
 
 
+@query("rank_ic", sql_with("precio_mensual", then=f""", {CHANGE_SQL}, r AS (SELECT serie, rank() OVER (PARTITION BY serie ORDER BY y) + (count(*) OVER (PARTITION BY serie, y) - 1) / 2.0::DOUBLE AS a,
+    rank() OVER (PARTITION BY serie ORDER BY p) + (count(*) OVER (PARTITION BY serie, p) - 1) / 2.0::DOUBLE AS b FROM usable)
+    SELECT serie, count(*) AS n, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN round(corr(a, b), 6) + 0.0::DOUBLE END AS rho FROM r GROUP BY 1"""))
+def rank_ic(spark, sf):
+    """Rank correlation of the forecast with the actual change, per series."""
+    return rounded(stats.rank_correlation(change_rows(spark, sf), "p", "y", ["serie"]), 6)
+
+
 @query("dm_statistic", sql_with("precio_mensual", then=f""", {CHANGE_SQL}, d AS (SELECT serie, mes, y * y - pow(y - p, 2) AS d FROM usable),
     l AS (SELECT *, lag(d, 1) OVER v AS d1, lag(d, 2) OVER v AS d2 FROM d WINDOW v AS (PARTITION BY serie ORDER BY mes)),
     g AS (SELECT serie, count(*) AS n, avg(d) AS m, var_pop(d) + 2 * covar_pop(d, d1) + 2 * covar_pop(d, d2) AS s FROM l GROUP BY 1)
