@@ -11,6 +11,7 @@ from veta.plans import prices
 from veta.plans.profiles import rounded
 from veta.plans.registry import query
 from veta.plans.shipping import DELAY_SQL, VIEWS, features
+from veta.session import materialise
 from veta.sources.roles import sql_with
 
 PRED_SQL = DELAY_SQL + """, pred AS (SELECT id_embarque, incoterm, seg_cliente, y_sev, retraso_d, CASE WHEN y_sev = 2 THEN 1 ELSE 0 END AS y,
@@ -113,7 +114,8 @@ FIXED = {"M1": "retraso_d * 0.5", "M2": "id_embarque % 40 - 10", "M3": "retraso_
 def model_rows(spark, sf):
     """Delay predictions of fixed formulas standing in for models."""
     rows = F.array(*[F.struct(F.lit(m).alias("modelo"), F.expr(e).cast("double").alias("prediccion")) for m, e in FIXED.items()])
-    d = predictions(spark, sf).withColumn("_m", F.explode(rows))
+    # Written before the rows are repeated: measures and choices read them several times.
+    d = materialise(predictions(spark, sf).select("id_embarque", "incoterm", "fecha_programada", "retraso_d")).withColumn("_m", F.explode(rows))
     return d.select("id_embarque", "incoterm", "fecha_programada", "retraso_d", "_m.*")
 
 
@@ -127,8 +129,12 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 MEASURES = "mae rmse r2 mape_pct sesgo mae_grave"
 
 
+def measured(rows):
+    return op.regression_metrics(rows, "retraso_d", "prediccion", ["incoterm", "modelo"], severe=6)
+
+
 def model_metrics(spark, sf):
-    return op.regression_metrics(model_rows(spark, sf), "retraso_d", "prediccion", ["incoterm", "modelo"], severe=6)
+    return measured(model_rows(spark, sf))
 
 
 @query("regression_metrics", sql_with(*VIEWS, then=f", {ROWS_SQL} SELECT incoterm, modelo, n, " + ", ".join(f"round({m}, 5) + 0.0::DOUBLE AS {m}" for m in MEASURES.split()) + " FROM medida"))
@@ -152,15 +158,16 @@ def champion(spark, sf):
     ORDER BY mae, modelo) AS k FROM medida WHERE modelo <> 'Media') WHERE k <= 3) SELECT incoterm, id_embarque, 'Ens_top3' AS modelo,
     round(avg(prediccion), 5) + 0.0::DOUBLE AS prediccion FROM filas JOIN mejor USING (incoterm, modelo) GROUP BY 1, 2"""))
 def ensemble_top3(spark, sf):
-    m = model_metrics(spark, sf).filter("modelo <> 'Media'")
-    return rounded(op.ensemble(model_rows(spark, sf), m, ["incoterm"], ["id_embarque"]), 5)
+    rows = model_rows(spark, sf)
+    m = measured(rows).filter("modelo <> 'Media'")
+    return rounded(op.ensemble(rows, m, ["incoterm"], ["id_embarque"]), 5)
 
 
 @query("improvement", sql_with(*VIEWS, then=f""", {ROWS_SQL} SELECT a.incoterm, a.modelo, round((1 - a.mae / b.mae) * 100, 4) + 0.0::DOUBLE AS mejora_pct FROM medida a JOIN medida b
     ON a.incoterm = b.incoterm AND b.modelo = 'Media' WHERE a.modelo <> 'Media'"""))
 def improvement(spark, sf):
     """Error saved against the mean, in percent."""
-    m = model_metrics(spark, sf)
+    m = materialise(model_metrics(spark, sf))
     base = m.filter("modelo = 'Media'").select("incoterm", F.col("mae").alias("_b"))
     d = m.filter("modelo <> 'Media'").join(base, "incoterm")
     return rounded(d.select("incoterm", "modelo", op.improvement_pct(F.col("mae"), F.col("_b")).alias("mejora_pct")))
