@@ -63,6 +63,12 @@ def test_signals_shuffle_the_receipts_once_a_key(spark):
     assert "collect_list" not in plan(s)
 
 
+def test_digits_of_a_group_without_weights_say_nothing(spark):
+    d = spark.createDataFrame([("a", None), ("a", None), ("b", 1.0), (None, 2.0)], "g string, peso_neto double")
+    plain = {r.g: r.s_benford for r in weighing.benford_signal(d, ["g"], False).collect()}
+    assert plain["a"] == 0.0 and plain["b"] > 0 and plain == {r.g: r.s_benford for r in weighing.benford_signal(d, ["g"], True).collect()}
+
+
 def test_stratified_orders_a_large_class_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(splits, "STRATUM_ROWS", 50)
     d = spark.range(400).withColumn("y", (F.col("id") % 10 > 0).cast("int"))

@@ -121,8 +121,9 @@ def benford(df: DataFrame, keys: Sequence[str], value: str = "peso_neto") -> Dat
 
 
 def digit_distance(seen: DataFrame) -> DataFrame:
-    """chi2, p and senal from the counts of the digits in _c1, _c2, ... and their sum n."""
-    chi = sum((F.pow(F.col(f"_c{k}") - F.col("n") * b, 2) / (F.col("n") * b) for k, b in BENFORD.items()), F.lit(0.0))
+    """chi2, p and senal from the counts of the digits in _c1, _c2, ... and their sum n; without digits there is no chi2."""
+    n = F.nullif(F.col("n"), F.lit(0))
+    chi = sum((F.pow(F.col(f"_c{k}") - n * b, 2) / (n * b) for k, b in BENFORD.items()), F.lit(0.0))
     return (seen.withColumn("chi2", chi).withColumn("p", chi2_tail_even("chi2", 8))
             .withColumn("senal", F.least(-F.log10(F.greatest("p", F.lit(1e-12))), F.lit(6.0)) / 6.0))
 
