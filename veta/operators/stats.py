@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from veta.functions.tails import beta_regularised, f_pvalue, f_tail, normal_cdf, t_pvalue  # noqa: F401
 from veta.operators.sequence import attach, average_ranks, crowded, framed
+from veta.session import materialise
 
 # Response surface for the unit-root p-value with a constant (MacKinnon 1994).
 TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
@@ -83,8 +84,9 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 def rank_correlation(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> DataFrame:
     """Rank correlation of two columns in every group of ``keys`` (null keys are a group), with average ranks; null where a column is constant."""
     keys = list(keys)
-    both = (df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-            .groupBy(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
+    # Written: the ranks of each side read the counted pairs three times.
+    both = materialise(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+                       .groupBy(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
     for side in ("_a", "_b"):
         counted = both.groupBy(*keys, side).agg(F.sum("_n").alias("_m"))
         ranks = average_ranks(counted, side, "_m", keys, f"{side}_rank").select(*keys, side, f"{side}_rank")

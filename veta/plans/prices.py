@@ -18,7 +18,8 @@ REQUIRED = ["soya_grano", "soya_aceite", "soya_harina"]
 
 
 def panel(spark, sf):
-    return monthly_panel(roles.monthly_prices(spark, sf), ["serie"], [*SERIES, ENSO], REQUIRED)
+    # Written before the panel, which reads it four times: a row a series and month of all line items.
+    return monthly_panel(materialise(roles.monthly_prices(spark, sf)), ["serie"], [*SERIES, ENSO], REQUIRED)
 
 
 LEVELS = [*SERIES, ENSO]
@@ -73,9 +74,9 @@ def features_sql() -> str:
     return f"{a}, {b} SELECT serie, CAST(mes AS VARCHAR) AS mes, {body} FROM df"
 
 
-def features(spark, sf):
-    """The price features, written once: a filter on a hundred window expressions would be copied into every step above it."""
-    return materialise(op.price_features(panel(spark, sf), "serie", SERIES, ENSO))
+def features(spark, sf, base=None):
+    """The price features (of the panel ``base`` if given), written once: a filter on a hundred window expressions would be copied into every step above it."""
+    return materialise(op.price_features(panel(spark, sf) if base is None else base, "serie", SERIES, ENSO))
 
 
 @query("price_features", sql_with("precio_mensual", then=f", {PANEL_SQL}, {features_sql()}"))

@@ -188,9 +188,10 @@ def change_rows(spark, sf):
     """Three-month changes of the bean price with a momentum forecast."""
     from veta.operators.prices import future_change
 
-    p = future_change(prices.panel(spark, sf), "serie", "soya_grano", 3, True, "y")
-    f = prices.features(spark, sf).select("serie", "mes", F.col("soya_grano__ret_3m").alias("p"))
-    return p.select("serie", "mes", "soya_grano", "y").join(f, ["serie", "mes"]).filter("y is not null and p is not null")
+    base = prices.panel(spark, sf)
+    p = future_change(base, "serie", "soya_grano", 3, True, "y")
+    f = prices.features(spark, sf, base).select("serie", "mes", F.col("soya_grano__ret_3m").alias("p"))
+    return materialise(p.select("serie", "mes", "soya_grano", "y").join(f, ["serie", "mes"]).filter("y is not null and p is not null"))
 
 
 CHANGE_SQL = prices.PANEL_SQL + """, cambio AS (SELECT serie, mes, soya_grano, ln(lead(soya_grano, 3) OVER v / soya_grano) AS y, ln(soya_grano / lag(soya_grano, 3) OVER v) AS p
