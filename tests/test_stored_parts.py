@@ -24,7 +24,7 @@ def rows_by_day(spark, n, days, seed=6):
 @pytest.mark.parametrize("n, days, k", [(200, 12, 4), (201, 1, 3), (3, 3, 4), (60, 60, 4), (50, 200, 9), (0, 1, 4)])
 def test_folds_by_day_are_the_folds_by_position(spark, monkeypatch, n, days, k):
     d = rows_by_day(spark, n, days)
-    got = splits.expanding_folds(d, ["when", "id"], k)
+    got = splits.expanding_folds(d, ["when", "id"], k, limit=-1)
     seen = sorted(((r.when is not None, r.when or dt.datetime.min, r.id, r.pliegue) for r in got.collect()))
     monkeypatch.setattr(splits, "dated", lambda *a: False)
     want = splits.expanding_folds(d, ["when", "id"], k)
@@ -35,7 +35,7 @@ def test_folds_by_day_are_the_folds_by_position(spark, monkeypatch, n, days, k):
 def test_folds_order_only_the_days_that_a_cut_divides(spark):
     # 50 days of 10 rows and one of 13: 513 rows, cuts after 105, 207, 309, 411 rows lie inside four days.
     d = spark.range(513).selectExpr("id", "timestamp'2021-01-01' + make_dt_interval(cast(least(floor(id / 10), 50) as int)) AS when")
-    got = splits.expanding_folds(d, ["when", "id"], 4)
+    got = splits.expanding_folds(d, ["when", "id"], 4, limit=100)
     assert {(r.pliegue, r["count"]) for r in got.groupBy("pliegue").count().collect()} == {(0, 105), (1, 102), (2, 102), (3, 102), (4, 102)}
     # The rows of the other days reach the union without a shuffle.
     whole = plan(got).split("Union")[1].split("Window")[0]
