@@ -10,7 +10,7 @@ class Found(Exception):
     pass
 
 
-@pytest.mark.parametrize("query", ["delay_leaderboard"])
+@pytest.mark.parametrize("query", ["delay_leaderboard", "freight_model"])
 def test_boosting_runs_all_rounds(spark, monkeypatch, query):
     made = {}
     frame = spark.createDataFrame([("train", 1.0)], "split string, x double")
