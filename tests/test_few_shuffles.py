@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from veta.operators import clusters, splits, summary, weighing
+from veta.plans import weighing as front
 
 
 def plan(d):
@@ -63,6 +64,28 @@ def test_signals_shuffle_the_receipts_once_a_key(spark):
     assert "collect_list" not in plan(s)
 
 
+def test_receipts_move_once_for_contracts_and_not_for_producers(spark, monkeypatch):
+    d, _ = receipts(spark)
+    contracts = spark.createDataFrame([(i, i % 5 if i % 6 else None, 100.0) for i in [*range(19), 3]], "id_contrato long, id_productor long, volumen_comprometido_tn double")
+    made = {"receipts": d, "contracts": contracts, "plots": spark.createDataFrame([(i, 10.0 * i) for i in range(4)], "id_productor long, superficie_ha double"),
+            "lab_assignments": spark.createDataFrame([(i, i % 9) for i in range(0, 300, 2)], "id_recepcion long, id_lote long"), "lab_controls": spark.range(5).toDF("id_lote")}
+    for name, frame in made.items():
+        monkeypatch.setattr(front.roles, name, lambda spark, sf, frame=frame: frame)
+    rich = weighing.enrich(d.select(*front.READ), contracts, made["lab_assignments"], made["lab_controls"], keep=True)
+    want = weighing.score(weighing.signals(rich, made["plots"], front.ORDER))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(weighing, "FEW", 0)
+    try:
+        found = front.scored(spark, "")
+        shown = ["id_recepcion", "s_rend", "s_contrato", "dup_remision", "n_lab", "s_hora", "s_date", "score", "tipologia"]
+        assert sorted(found.select(*shown).collect()) == sorted(want.select(*shown).collect())
+        text = plan(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = text[:text.index("Window")]
+    assert "Exchange" not in rows and text.count("Exchange hashpartitioning(_spread") == 2
+
+
 def test_digits_of_a_group_without_weights_say_nothing(spark):
     d = spark.createDataFrame([("a", None), ("a", None), ("b", 1.0), (None, 2.0)], "g string, peso_neto double")
     plain = {r.g: r.s_benford for r in weighing.benford_signal(d, ["g"], False).collect()}
